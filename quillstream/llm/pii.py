@@ -28,7 +28,7 @@ MAX_NAME_WORDS, MAX_GIVEN = 4, 100_000
 
 # Words that stand beside a kind, per side.
 CUES = {
-    "name<": "according to talked spoke after from by name is signed reviewed-by reviewed attn attention laut selon según segun ist heiße grüßen gruß m'appelle llamo chamo chiamo heet 담당자 작성자는 작성자 secondo segundo volgens dear hi hello hallo bonjour hola liebe lieber contact owner author mit von par por di da van door asked thanks",
+    "name<": "cordialement saludos atentamente regards sincerely cheers saluti cumprimentos groeten according to talked spoke after from by name is signed reviewed-by reviewed attn attention laut selon según segun ist heiße grüßen gruß m'appelle llamo chamo chiamo heet 담당자 작성자는 작성자 secondo segundo volgens dear hi hello hallo bonjour hola liebe lieber contact owner author mit von par por di da van door asked thanks",
     "name>": "wrote asked wants wanted said left joined hat pide demande a escribió ist tout todo 님 님이 님이다 ha schreef vraagt vroeg heeft pediu escreveu ha schrieb fragte sagte and und y et e en the",
     "title<": "mr mrs ms dr prof mme m mlle herr frau sr sra señor señora sig signora dhr mevr don doña",
     "phone<": "call texted text phone tel fax voice number reach dial ring on-call mobile cell anrufen rückruf unter telefon notfall appeler appelez numéro llamar teléfono ligar chiamare bellen 전화 막히면 연락처 week",
@@ -48,7 +48,7 @@ for _k, _words in CUES.items():
 
 # First words of sentences and other capitalised words that begin no name.
 NO_NAMES = frozenset(
-    "the a an this that our my their at in on by for after before during since last every each as meet main rose without send remove ship talked according signed call texted ask see home scanned attn reply-to "
+    "cordialement saludos atentamente regards sincerely cheers thanks saluti cumprimentos groeten the a an this that our my their at in on by for after before during since last every each as meet main rose without send remove ship talked according signed call texted ask see home scanned attn reply-to "
     "das der die ein eine einen unser unsere jeder jede wie vor nach seit am im in während letzte ohne vorerst bitte laut mit mein treffpunkt paket rückfragen tel adresse wohnhaft "
     "le la les un une notre chaque après avant depuis pendant en par selon mme m contact domicile colis el los las una nuestro cada antes después desde durante por según me mandar correo domicilio "
     "il lo gli uno ogni dopo prima o os as uma nosso antes depois de het een onze elke na voor sinds monday tuesday wednesday thursday friday saturday sunday montag dienstag mittwoch donnerstag freitag samstag sonntag".split()
