@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bpe, confusables, languages, neardup, packing
+from quillstream.llm import bpe, confusables, languages, neardup, packing, pii
 from quillstream.session import table
 
 
@@ -21,6 +21,18 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(_near(spark, d))
 
 
+def _personal(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("turns", "author_regions", "extracted_docs", "given_names")]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.kb_found(*_personal(spark, d))
+
+
+def p4_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.kb_masked(*_personal(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.changed_fields(table(spark, d, "parsed_notes"), table(spark, d, "search_hits"))
 
@@ -59,5 +71,5 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages.languages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_unified, p5_alike, p6_ids, p7_packed, p7_fill, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_masked, p5_found, p5_unified, p5_alike, p6_ids, p7_packed, p7_fill, p8_found, p8_languages)}
 SQL: dict[str, str] = {}
