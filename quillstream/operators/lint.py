@@ -1,0 +1,111 @@
+"""Integrity rules: each a query of its violations (code, severity, path, message)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillstream.functions import text as X
+
+# Closed vocabularies.
+STATUSES = ("active", "stub", "contested", "deprecated", "draft")
+TYPES = ("theme", "daily", "moc", "index")
+
+
+def _rows(df: DataFrame, code: str, message: Column, severity: str = "error") -> DataFrame:
+    return df.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "path", message.alias("message"))
+
+
+def unique_names(notes: DataFrame) -> DataFrame:
+    """L1-1: a basename that several paths share, one finding per path."""
+    shared = notes.groupBy("basename").agg(F.countDistinct("path").alias("n")).where("n > 1").select("basename")
+    return _rows(notes.join(shared, "basename", "left_semi").select("path", "basename").distinct(), "L1-1", F.concat(F.lit("duplicate basename "), "basename"))
+
+
+def unresolved_links(notes: DataFrame) -> DataFrame:
+    """L1-2: a link whose key is no basename."""
+    links = notes.select("path", F.explode("outlinks").alias("link")).select("path", X.wikilink_key(F.col("link")).alias("target")).where("target <> ''").distinct()
+    return _rows(links.join(notes.select(F.col("basename").alias("target")).distinct(), "target", "left_anti"), "L1-2", F.concat(F.lit("unresolved link "), "target"))
+
+
+def required_keys(notes: DataFrame) -> DataFrame:
+    """L1-4: a key that is missing: title, status and updated for all, type for the frontmatter."""
+    tests = {
+        "title": F.col("title").isNull() | (X.trim(F.col("title")) == ""),
+        "status": F.col("status").isNull() | (F.col("status") == ""),
+        "updated": F.get_json_object("frontmatter", "$.updated").isNull(),
+        "type": F.col("type").isNull(),
+    }
+    return reduce(DataFrame.unionByName, [_rows(notes.where(t), "L1-4", F.lit(f"missing {k}")) for k, t in tests.items()])
+
+
+def taxonomy(notes: DataFrame, tags: DataFrame) -> DataFrame:
+    """L1-5: a tag outside the allowed ones (tag)."""
+    used = notes.select("path", F.explode("tags").alias("tag")).distinct()
+    return _rows(used.join(tags.select("tag").distinct(), "tag", "left_anti"), "L1-5", F.concat(F.lit("unknown tag "), "tag"))
+
+
+def vocabularies(notes: DataFrame) -> DataFrame:
+    """L1-11: a status or type outside its vocabulary."""
+    status = notes.where(F.col("status").isNotNull() & (F.col("status") != "") & ~F.col("status").isin(*STATUSES))
+    kind = notes.where(F.col("type").isNotNull() & ~F.col("type").isin(*TYPES))
+    return _rows(status, "L1-11", F.concat(F.lit("status "), "status")).unionByName(_rows(kind, "L1-11", F.concat(F.lit("type "), "type")))
+
+
+def dates(notes: DataFrame, run_date: str | None = None) -> DataFrame:
+    """L1-12: a date of another form than yyyy-MM-dd, or, given the run's date, after it."""
+    said = F.get_json_object("frontmatter", "$.updated")
+    wrong = _rows(notes.where(said.isNotNull() & (~said.rlike(r"\A\d{4}-\d{2}-\d{2}\z") | F.col("updated").isNull())), "L1-12", F.concat(F.lit("bad date "), said))
+    return wrong if run_date is None else wrong.unionByName(_rows(notes.where(F.col("updated") > F.lit(run_date).cast("date")), "L1-12", F.concat(F.lit("future date "), said)))
+
+
+def single_index(notes: DataFrame) -> DataFrame:
+    """L1-13: an index page besides the first."""
+    first = notes.where("is_index").agg(F.min("path").alias("first"))
+    return _rows(notes.where("is_index").join(F.broadcast(first), how="inner").where("path <> first"), "L1-13", F.lit("second index"))
+
+
+def daily_dates(notes: DataFrame) -> DataFrame:
+    """L1-14: a daily note whose name holds no date of the calendar."""
+    said = F.regexp_extract("basename", r"(\d{4}-\d{2}-\d{2})", 1)
+    return _rows(notes.where((F.col("type") == "daily") & said.try_cast("date").isNull()), "L1-14", F.concat(F.lit("no date in "), "basename"))
+
+
+def line_ends(notes: DataFrame) -> DataFrame:
+    """L1-16: a body with carriage returns or a byte-order mark."""
+    return _rows(notes.where(F.col("body").contains("\r") | F.col("body").startswith("﻿")), "L1-16", F.lit("not plain line feeds"))
+
+
+def marker_order(notes: DataFrame, prefix: str = "kb") -> DataFrame:
+    """L1-20: region markers that do not strictly alternate start and end with equal, unique ids."""
+    marks = F.regexp_extract_all("body", F.lit(rf"<!-- {prefix}:body:((?:start|end) \S+) -->"), 1)
+    starts = F.filter(marks, lambda m: m.startswith("start "))
+    pairs = F.flatten(F.transform(starts, lambda m: F.array(m, F.regexp_replace(m, "^start ", "end "))))
+    return _rows(notes.where((F.size(marks) > 0) & ((pairs != marks) | (F.size(F.array_distinct(starts)) != F.size(starts)))), "L1-20", F.lit("region markers out of order"))
+
+
+def orphan_count(notes: DataFrame, orphans: DataFrame, most: int) -> DataFrame:
+    """L2-1: a warning when more themes than allowed have no link to them."""
+    n = orphans.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    return n.select(F.lit("L2-1").alias("code"), F.lit("warning").alias("severity"), F.lit("").alias("path"), F.concat(F.col("n").cast("string"), F.lit(" orphans")).alias("message"))
+
+
+def lint(notes: DataFrame, tags: DataFrame | None = None, run_date: str | None = None) -> DataFrame:
+    """Findings of all rules over a corpus view; order by path and code where order matters."""
+    rules = [unique_names(notes), unresolved_links(notes), required_keys(notes), vocabularies(notes), dates(notes, run_date), single_index(notes), daily_dates(notes), line_ends(notes), marker_order(notes)]
+    if tags is not None:
+        rules.append(taxonomy(notes, tags))
+    return reduce(DataFrame.unionByName, rules)
+
+
+def health(notes: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: totals by type, contested notes, orphans (themes that no link leads to) and unresolved links."""
+    reached = links.select(F.col("dst").alias("note_id")).distinct()
+    lone = notes.where("type = 'theme'").select("note_id").join(reached, "note_id", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
+    broken = unresolved_links(notes).agg(F.count(F.lit(1)).alias("broken_links"))
+    totals = notes.agg(
+        F.count(F.lit(1)).alias("note_total"), F.count_if(F.col("type") == "theme").alias("themes"), F.count_if(F.col("type") == "daily").alias("dailies"), F.count_if(F.col("status") == "contested").alias("contested"), F.count_if(F.col("status") == "active").alias("active"),
+    )
+    return totals.join(F.broadcast(lone), how="inner").join(F.broadcast(broken), how="inner")  # one row each
