@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.session import settled
+
 KINDS = ("email", "phone", "id", "address", "name")
 #: A name has at most this many words; the list of given names at most this many entries.
 MAX_NAME_WORDS, MAX_GIVEN = 4, 100_000
@@ -101,12 +103,20 @@ ADDRESSES = [
 _ADDRESSES = [(s, regex.compile(rf"(?<![\p{{L}}\p{{N}}_/.-]){p}(?![\p{{L}}\p{{N}}_])" if s != "ko" else rf"(?<![\p{{L}}\p{{N}}]){p}")) for s, p in ADDRESSES]
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}'’-]+")
 
-#: By kind, what a text must hold for it to occur (Java patterns).
+#: By kind, what a text must hold for it to occur: one of the strings (if any are named), and the Java pattern.
 GATES = {
-    "mail": r"@|＠|[\[({](?:at|AT)[\])}]|(?i: at [a-z0-9-]+ dot )",
-    "number": r"\d[\d ().\-/]{5,}\d|[A-Z]{1,3}[ -]?\d{2}[ ]?\d{2}|\d{2}[A-Z]{2}\d{5}|\d{8}-?[A-Z]|[A-Z]{6}\d{2}[A-Z]",
-    "address": r"\d[a-z]? (?:\p{Lu}[\p{L}'’-]+ ){1,3}(?:St|R|A|D|L|C|B|W|P|S|T)|(?:straße|strasse|str\.|weg|gasse|[aA]llee|platz|ring|damm|ufer|straat|laan|plein|gracht|kade|dijk|singel|-Straße|-Platz|-Weg|-Ring|-Gasse) \d|\b(?:rue|avenue|boulevard|place|impasse|quai|chemin|allée|cours|route|passage)\b|\b(?:C/|Calle|Avenida|Avda|Plaza|Paseo|Camino|Ronda|Via|Viale|Piazza|Corso|Vicolo|Rua|Travessa|Praça)|[가-힣](?:로|길) ?\d",
-    "name": r"\p{Lu}[\p{L}\p{M}.'’-]* (?:[a-z]{2,3} )?\p{Lu}[\p{L}\p{M}.]|\p{Lu}\p{L}+, \p{Lu}\p{L}",
+    "mail": (("@", "＠", "at]", "at)", "at}", "AT]", "AT)", "AT}", " dot ", " DOT "), r"@|＠|[\[({](?:at|AT)[\])}]|(?i: at [a-z0-9-]+ dot )"),
+    "number": ((), r"\d[\d ().\-/]{5,}\d|[A-Z]{1,3}[ -]?\d{2}[ ]?\d{2}|\d{2}[A-Z]{2}\d{5}|\d{8}-?[A-Z]|[A-Z]{6}\d{2}[A-Z]"),
+    "address": (
+        (
+            " St", " Road", " Rd", " Ave", " Drive", " Lane", " Ln", " Court", " Ct", " Boulevard", " Blvd", " Way", " Place", " Square", " Terrace", " Close",
+            "straße ", "strasse ", "str. ", "weg ", "gasse ", "llee ", "platz ", "ring ", "damm ", "ufer ", "straat ", "laan ", "plein ", "gracht ", "kade ", "dijk ", "singel ", "-Straße ", "-Platz ", "-Weg ", "-Ring ", "-Gasse ",
+            "rue ", "avenue ", "boulevard ", "place ", "impasse ", "quai ", "chemin ", "allée ", "cours ", "route ", "passage ",
+            "C/ ", "Calle ", "Avda", "Plaza ", "Paseo ", "Camino ", "Ronda ", "Via ", "Viale ", "Piazza ", "Corso ", "Vicolo ", "Rua ", "Travessa ", "Praça ", "로", "길",
+        ),
+        r"\d[a-z]? (?:\p{Lu}[\p{L}'’-]+ ){1,3}(?:St|R|A|D|L|C|B|W|P|S|T)|[a-zß.] \d{1,4}|\d,? ?(?:bis|ter|quater|[a-d])?,? [a-zé]{3,9} |[가-힣] ?\d|, \d",
+    ),
+    "name": ((), r"\p{Lu}[\p{L}\p{M}.'’-]* (?:[a-z]{2,3} )?\p{Lu}[\p{L}\p{M}.]|\p{Lu}\p{L}+, \p{Lu}\p{L}"),
 }
 
 Span = tuple[int, int, str, tuple[str, ...]]
@@ -356,9 +366,15 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _gated(df: DataFrame, text: str) -> Column:
+def _gated(text: Column) -> Column:
     """Bits of the gates that a text passes."""
-    return reduce(lambda a, b: a + b, (F.when(F.col(text).rlike(p), 1 << i).otherwise(0) for i, p in enumerate(GATES.values())))
+    bits = []
+    for i, (strings, pattern) in enumerate(GATES.values()):
+        test = text.rlike(pattern)
+        if strings:
+            test = reduce(Column.__or__, (text.contains(x) for x in strings)) & test
+        bits.append(F.when(test, 1 << i).otherwise(0))
+    return reduce(Column.__add__, bits)
 
 
 def _given(given_names: DataFrame) -> frozenset[str]:
@@ -378,7 +394,7 @@ def found(df: DataFrame, rec_id: str, text: str, given_names: DataFrame) -> Data
     given, names = _given(given_names), tuple(GATES)
     model = df.sparkSession.sparkContext.broadcast(dict(fitted()))
     own = df.select(F.col(rec_id).alias("rec_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    own = own.withColumn("gates", _gated(own, "text")).where("gates > 0")
+    own = settled(own, gates=_gated(F.col("text"))).where("gates > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.value
@@ -398,7 +414,7 @@ def masked(df: DataFrame, text: str, given_names: DataFrame, out: str = "masked"
     """df with out: the text with placeholders, all else kept. Texts that pass no gate never leave the JVM."""
     given, names = _given(given_names), tuple(GATES)
     model = df.sparkSession.sparkContext.broadcast(dict(fitted()))
-    own = df.withColumn("__gates", F.coalesce(_gated(df, text), F.lit(0)))
+    own = settled(df, __gates=F.coalesce(_gated(F.col(text)), F.lit(0)))
     schema = df.withColumn(out, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
