@@ -115,7 +115,7 @@ def estimate_zones(observed: DataFrame, machine: str, local_us: str, ingested_us
     Wall-clock times are first counted per machine, hour and quarter-hour of lag, so a machine that holds most rows is
     a few rows before the shuffle; each count is then read under every candidate zone. A record ingested before it was
     written is a violation, one ingested more than prompt_us later is late. The zone with the least 2 x violations +
-    late wins, ties go to the first name; zones with equal offsets over the data are not told apart. Rows with a null
+    late wins, of equal ones that with the shortest waits, then the first name; zones with equal offsets over the data are not told apart. Rows with a null
     in any of the three columns are left out; a machine without rows has no estimate.
     """
     quarter = 900_000_000
@@ -135,10 +135,11 @@ def estimate_zones(observed: DataFrame, machine: str, local_us: str, ingested_us
             F.sum("n").alias("n"),
             F.sum(F.when(F.col("delay") < 0, F.col("n")).otherwise(0)).alias("violations"),
             F.sum(F.when(F.col("delay") * quarter >= prompt_us, F.col("n")).otherwise(0)).alias("late"),
+            F.sum(F.when((F.col("delay") >= 0) & (F.col("delay") * quarter < prompt_us), F.col("n") * F.col("delay")).otherwise(0)).alias("wait"),
         )
     )
-    best = Window.partitionBy("machine").orderBy(2 * F.col("violations") + F.col("late"), "zone")
-    return fit.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    best = Window.partitionBy("machine").orderBy(2 * F.col("violations") + F.col("late"), "wait", "zone")
+    return fit.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "wait")
 
 
 def normalise(df: DataFrame, text: str, machine: str, machines: DataFrame, estimate_from: str | None = None, zones: list[str] | None = None) -> DataFrame:

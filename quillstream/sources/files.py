@@ -56,7 +56,7 @@ def read_notes(spark: SparkSession, root: str, strict: bool = False) -> DataFram
     A file without a readable fence has null frontmatter and its whole text as body; strict fails on it.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-    text = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"), F.sha2("content", 256).alias("source_digest"))
+    text = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("source_digest"))
     rel = F.substring("path", F.lit(len(os.path.abspath(root)) + 2), F.length("path"))
     block = F.when(F.col("text").rlike(FENCE), F.regexp_extract("text", FENCE, 1))
     rows = text.withColumn("frontmatter", frontmatter_json(block))
@@ -83,7 +83,7 @@ def read_memory(spark: SparkSession, pattern: str) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], "path string, text string, size bigint")
     raw = spark.read.format("binaryFile").load([*paths])
-    return raw.select("path", F.decode("content", F.lit("UTF-8")).alias("text"), F.col("length").alias("size"))
+    return raw.select("path", F.decode("content", "UTF-8").alias("text"), F.col("length").alias("size"))
 
 
 class MemoryFacts(DataSource):
