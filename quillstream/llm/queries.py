@@ -72,4 +72,23 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_masked, p5_found, p5_unified, p5_alike, p6_ids, p7_packed, p7_fill, p8_found, p8_languages)}
-SQL: dict[str, str] = {}
+
+
+def _class(chars: str) -> str:
+    return "".join(c if c == "-" else rf"\x{{{ord(c):x}}}" for c in chars)
+
+
+_ODD = "[" + _class(confusables.INVISIBLE + confusables.BLANKS + confusables.WIDE + confusables.STYLED + confusables.JAMO + confusables.MARKS) + "]"
+_LOOK = "[" + _class(confusables.LOOKALIKE) + "]"
+_PLAIN = r"regexp_replace(x, '[\x{2190}-\x{27bf}\x{1f000}-\x{1faff}]\x{fe0f}?(\x{200d}[\x{2190}-\x{27bf}\x{1f000}-\x{1faff}]\x{fe0f}?)*', '', 'g')"
+_CASE = rf"regexp_matches({_PLAIN}, '{_ODD}|\p{{Latin}}[\p{{L}}\p{{M}}]*{_LOOK}|{_LOOK}[\p{{L}}\p{{M}}]*\p{{Latin}}')"
+
+SQL: dict[str, str] = {
+    "p3_found": r"""WITH t AS (SELECT DISTINCT 'body' AS field, note_id AS id, body AS text FROM note_files UNION SELECT DISTINCT 'title', note_id, title FROM parsed_notes UNION SELECT DISTINCT 'source_text', region_no, source_text FROM author_regions),
+v AS (SELECT field, id, word, count(*) AS c FROM (SELECT field, id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM t) GROUP BY ALL),
+k AS (SELECT * FROM (SELECT *, sum(c) OVER (PARTITION BY field, id) AS n FROM v) WHERE n >= 5),
+p AS (SELECT a.field, a.id AS id_a, b.id AS id_b, sum(least(a.c, b.c)) AS o, any_value(a.n + b.n) AS s FROM k a JOIN k b ON a.field = b.field AND a.word = b.word AND a.id < b.id GROUP BY ALL)
+SELECT field, id_a, id_b FROM p WHERE 10 * o >= 7 * (s - o)""",
+    "p5_found": f"""WITH t AS (SELECT 'title' AS field, note_id AS rec_id, title AS x FROM parsed_notes UNION ALL SELECT 'body_lines', note_id, array_to_string(body_lines, chr(10)) FROM parsed_notes UNION ALL SELECT 'excerpt', hit_id, excerpt FROM search_hits)
+SELECT DISTINCT field, rec_id FROM t WHERE {_CASE}""",
+}
