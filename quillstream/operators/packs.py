@@ -45,9 +45,9 @@ def capped_share(scored: DataFrame, harvested: str, share: float = SHARE_CAP) ->
     """Without the lowest harvest rows, as many as needed for them to be at most this share (half)."""
     if share != SHARE_CAP:
         raise ValueError("the closed form holds for a share of one half")
-    totals = scored.agg(F.count_if(F.col(harvested)).alias("h"), F.count(F.lit(1)).alias("t"))
+    totals = scored.agg(F.count_if(F.col(harvested)).alias("__h"), F.count(F.lit(1)).alias("__t"))
     r = F.row_number().over(Window.partitionBy(harvested).orderBy("score", F.desc("path")))
-    return scored.withColumn("r", r).join(F.broadcast(totals), how="inner").where(~F.col(harvested) | (F.col("r") > F.greatest(F.lit(0), 2 * F.col("h") - F.col("t")))).drop("r", "h", "t")
+    return scored.withColumn("__r", r).join(F.broadcast(totals), how="inner").where(~F.col(harvested) | (F.col("__r") > F.greatest(F.lit(0), 2 * F.col("__h") - F.col("__t")))).drop("__r", "__h", "__t")
 
 
 def fill_budget(scored: DataFrame, budget: int = BUDGET) -> DataFrame:

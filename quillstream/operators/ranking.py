@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
 from quillstream.operators.notes import edges
-from quillstream.session import small
+from quillstream.session import cut, small, written
 
 # Fixed values of the scoring contract.
 K1, B, PIVOT = 1.2, 0.75, 1.5
@@ -69,7 +69,7 @@ def occurrences(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def lexical(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     """qid, note_id, raw, lex, and top: the field of the matched token with the highest idf (ties: the fields' order)."""
-    hits = occurrences(tokens, wanted)
+    hits = cut(occurrences(tokens, wanted))
     stats = corpus_stats(tokens)
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n = F.col("n")
@@ -118,13 +118,13 @@ def structural(d: Column, indeg: Column, most: Column) -> Column:
 def rank(notes: DataFrame, questions: DataFrame, limit: int = MAX_HITS, floor: float = FLOOR) -> DataFrame:
     """qid, pos, note_id, path, anchor, line, excerpt, match_reason, score: the best hits of every question.
 
-    A question without tokens, without an eligible note or whose best score is below the floor has no row. notes is a
+    The corpus's tokens and links are written once and read by the steps that need them. A question without tokens, without an eligible note or whose best score is below the floor has no row. notes is a
     corpus view; questions (qid, question) are at most MAX_QUESTIONS. Ties are broken by reason, lexical score,
     in-degree, then path and id.
     """
-    wanted = question_tokens(questions)
-    tokens = field_tokens(notes)
-    links = edges(notes)
+    wanted = cut(question_tokens(questions))
+    tokens = written(field_tokens(notes))
+    links = cut(edges(notes))
     lex = lexical(tokens, wanted)
     degrees = indegrees(links)
     distances = bounded_distances(seed_distances(notes, links), links)
