@@ -106,6 +106,15 @@ def token_estimate(c: Column) -> Column:
     return (cjk + F.ceil(F.octet_length(F.regexp_replace(c, rf"[{CJK_CLASS}]", "")) / 4)).cast("long")
 
 
+def window_excerpt(line: Column, token: Column, around: int = 32) -> Column:
+    """So many words to either side of the first word that is the token, in their own case; the whole line if none is."""
+    parts = F.regexp_extract_all(line, F.lit("[^A-Za-z0-9]*[A-Za-z0-9]+"), 0)
+    at = F.array_position(F.transform(parts, lambda p: F.lower(F.regexp_replace(p, "^[^A-Za-z0-9]*", ""))), token).cast("int")
+    first = F.greatest(at - around, F.lit(1))
+    cut = F.array_join(F.slice(parts, first, F.greatest(at + around - first + 1, F.lit(0))), "")
+    return F.when(at > 0, collapse(cut)).otherwise(collapse(line))
+
+
 def shingles(c: Column, k: int = 8) -> Column:
     """Distinct runs of k characters of the lower-cased, collapsed text; a shorter text is its own."""
     plain = F.lower(collapse(c, 1_000_000))

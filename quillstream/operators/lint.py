@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
+from quillstream.operators.regions import PLACEHOLDERS, regions
 
 # Closed vocabularies.
 STATUSES = ("active", "stub", "contested", "deprecated", "draft")
@@ -86,17 +87,71 @@ def marker_order(notes: DataFrame, prefix: str = "kb") -> DataFrame:
     return _rows(notes.where((F.size(marks) > 0) & ((pairs != marks) | (F.size(F.array_distinct(starts)) != F.size(starts)))), "L1-20", F.lit("region markers out of order"))
 
 
+def _front(key: str) -> Column:
+    return F.from_json(F.get_json_object("frontmatter", f"$.{key}"), "array<string>")
+
+
+def sources(notes: DataFrame, raw: DataFrame) -> DataFrame:
+    """L1-7: an active theme without sources; L1-8: a source that no raw file (path) answers; L1-8b: a cited sidecar."""
+    own = notes.where((F.col("type") == "theme") & (F.col("status") != "stub")).withColumn("__s", _front("sources"))
+    bare = _rows(own.where(F.coalesce(F.size("__s"), F.lit(0)) <= 0), "L1-7", F.lit("no sources"))
+    cited = own.select("path", F.explode("__s").alias("source")).where(F.col("source").startswith("raw/")).distinct()
+    gone = cited.join(raw.select(F.col("path").alias("source")).distinct(), "source", "left_anti")
+    return bare.unionByName(_rows(gone, "L1-8", F.concat(F.lit("missing source "), "source"))).unionByName(_rows(cited.where(F.col("source").endswith(".meta.json")), "L1-8b", F.concat(F.lit("sidecar "), "source")))
+
+
+def contested_shape(notes: DataFrame) -> DataFrame:
+    """L1-10: a contested note lacks two sources, who contests it, when, or the callout in its body."""
+    whole = (F.coalesce(F.size(_front("sources")), F.lit(0)) >= 2) & (F.coalesce(F.size(_front("contested_by")), F.lit(0)) >= 1) & F.get_json_object("frontmatter", "$.contested_at").isNotNull() & F.col("body").contains("> [!warning]")
+    return _rows(notes.where((F.col("status") == "contested") & ~F.coalesce(whole, F.lit(False))), "L1-10", F.lit("contested without its marks"))
+
+
+def alias_collisions(notes: DataFrame) -> DataFrame:
+    """L1-15: an alias that is a basename, or that an earlier note (by path) or place in the list holds already."""
+    rows = notes.select("path", F.posexplode(_front("aliases")).alias("at", "alias"))
+    taken = rows.join(notes.select(F.col("basename").alias("alias")).distinct(), "alias", "left_semi").select("path", "at", "alias")
+    first = rows.groupBy("alias").agg(F.min(F.struct("path", "at")).alias("f"))
+    later = rows.join(first, "alias").where((F.col("path") != F.col("f.path")) | (F.col("at") != F.col("f.at"))).select("path", "at", "alias")
+    return _rows(taken.union(later).distinct(), "L1-15", F.concat(F.lit("alias "), "alias"))
+
+
+def schema_drift(notes: DataFrame, version: str) -> DataFrame:
+    """L1-17: a schema_version other than the repository's."""
+    said = F.get_json_object("frontmatter", "$.schema_version")
+    return _rows(notes.where(said.isNotNull() & (said != version)), "L1-17", F.concat(F.lit("schema_version "), said))
+
+
+def origins(notes: DataFrame) -> DataFrame:
+    """L1-19: an origin that is neither manual nor harvest:<name>."""
+    said = F.get_json_object("frontmatter", "$.origin")
+    return _rows(notes.where(said.isNotNull() & ~said.rlike(r"\A(manual|harvest:.+)\z")), "L1-19", F.concat(F.lit("origin "), said))
+
+
+def stale_status(notes: DataFrame, prefix: str = "kb") -> DataFrame:
+    """L2-6: a warning when body_status says pending though every region has been written."""
+    written = regions(notes, prefix=prefix).groupBy("path").agg(F.count_if(F.col("text").isin(*PLACEHOLDERS)).alias("n")).where("n = 0")
+    pending = notes.where(F.get_json_object("frontmatter", "$.body_status") == "pending")
+    return _rows(pending.join(written, "path", "left_semi"), "L2-6", F.lit("body_status is out of date"), "warning")
+
+
 def orphan_count(notes: DataFrame, orphans: DataFrame, most: int) -> DataFrame:
     """L2-1: a warning when more themes than allowed have no link to them."""
     n = orphans.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     return n.select(F.lit("L2-1").alias("code"), F.lit("warning").alias("severity"), F.lit("").alias("path"), F.concat(F.col("n").cast("string"), F.lit(" orphans")).alias("message"))
 
 
-def lint(notes: DataFrame, tags: DataFrame | None = None, run_date: str | None = None) -> DataFrame:
-    """Findings of all rules over a corpus view; order by path and code where order matters."""
-    rules = [unique_names(notes), unresolved_links(notes), required_keys(notes), vocabularies(notes), dates(notes, run_date), single_index(notes), daily_dates(notes), line_ends(notes), marker_order(notes)]
+def lint(notes: DataFrame, tags: DataFrame | None = None, run_date: str | None = None, raw: DataFrame | None = None, version: str | None = None) -> DataFrame:
+    """Findings of the rules over a corpus view; order by path and code where order matters.
+
+    Rules that need more run when it is given: tags (L1-5), raw files (L1-7, L1-8), the schema version (L1-17).
+    """
+    rules = [unique_names(notes), unresolved_links(notes), required_keys(notes), vocabularies(notes), dates(notes, run_date), single_index(notes), daily_dates(notes), line_ends(notes), marker_order(notes), alias_collisions(notes), origins(notes)]
     if tags is not None:
         rules.append(taxonomy(notes, tags))
+    if raw is not None:
+        rules += [sources(notes, raw), contested_shape(notes)]
+    if version is not None:
+        rules.append(schema_drift(notes, version))
     return reduce(DataFrame.unionByName, rules)
 
 

@@ -158,7 +158,7 @@ def rank(notes: DataFrame, questions: DataFrame, limit: int = MAX_HITS, floor: f
     above = F.try_element_at(F.filter("headings", lambda h: h.line <= place), F.lit(-1))
     line = F.when(F.col("reason") == 0, F.coalesce("title_line", F.lit(1))).when((F.col("reason") == 1) & head.isNotNull(), head.line).when(place > 0, place).otherwise(F.coalesce("title_line", F.lit(1)))
     anchor = F.when(F.col("reason") == 0, "").when((F.col("reason") == 1) & head.isNotNull(), head.slug).when(place > 0, F.coalesce(above.slug, F.lit(""))).otherwise("")
-    shown = F.when(F.col("reason") == 0, F.col("title")).when((F.col("reason") == 1) & head.isNotNull(), head.text).when(place > 0, F.get("body_lines", F.greatest(place, F.lit(1)) - 1)).otherwise(F.col("title"))
+    shown = F.when(F.col("reason") == 0, F.col("title")).when((F.col("reason") == 1) & head.isNotNull(), head.text).when(place > 0, X.window_excerpt(X.labels(F.get("body_lines", F.greatest(place, F.lit(1)) - 1)), token)).otherwise(F.col("title"))
     names = F.array(*(F.lit(r) for r in REASONS))
     return kept.select("qid", "pos", "note_id", "path", F.coalesce(anchor, F.lit("")).alias("anchor"), line.alias("line"), X.collapse(shown).alias("excerpt"), F.get(names, F.col("reason")).alias("match_reason"), "score")
 
