@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.session import cut
+
 #: Documents in a group, about: 24 bytes each in one task.
 GROUP = 200_000
 #: Classes up to this one are placed by count alone; lengths of the later ones may first fill what these leave.
@@ -78,15 +80,15 @@ def pack(df: DataFrame, item_id: str, size: str, capacity: int = 2048, group_row
     An item larger than the capacity is cut into full pieces and a last one (piece 0, 1, ...; start is the piece's
     offset); any other is never split (piece 0, start 0). Items of null or no size need no container and are left out;
     repeated ids are items of their own; a null id is packed like any other. Containers are numbered by group, so the
-    result depends on the rows alone, not on how they are laid out. An empty table gives an empty result.
+    result depends on the rows alone, not on how they are laid out. Sizes are found once and kept in the shared folder,
+    16 bytes each. An empty table gives an empty result.
     """
+    sized = cut(df.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(size).cast("bigint").alias("n")).where("n > 0"))
     items = (
-        df.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(size).cast("bigint").alias("n"))
-        .where("n > 0")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))))
+        sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))))
         .select("item_id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("size"))
     )
-    groups = max(1, math.ceil(df.count() / group_rows))
+    groups = max(1, math.ceil(sized.count() / group_rows))
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("item_id").to_numpy(zero_copy_only=False)
