@@ -1,20 +1,19 @@
-"""Near-duplicate records with small edits, by deletion-variant signatures.
+"""Near-duplicate records with small edits, by prefixes of their rarest words.
 
 A record is the multiset of its words, each word with the number of its occurrence, so that similarity is a matter of
-how many elements differ. Two records of n and m words whose similarity reaches t differ in at most
-H = (1-t)/(1+t) (n+m) elements; cut into H/2 + 1 segments, at least one segment differs by at most one element. Per
-level of length, each segment (there are four times as many) gives as signatures its key elements and all of them but one, in turn; records meet by
-equal signatures, a 256-bit parity sketch discards pairs that differ too much, and the rest is verified exactly.
-
-Key elements are the rare ones: those in at most `rare` different records, and where a record has fewer than KEYS of
-them, its rarest others. A signature of rare elements is shared by at most `rare` records, so the number of candidates
-grows with the number of records, whatever words are common. Two records that share no key element are not compared:
-exact copies aside, texts made of the same common words only are reached by their KEYS rarest.
+how many elements differ. All elements have one order, the rarer first. If records of n <= m elements reach similarity
+t, they share at least 2t/(1+t) n and at least t m elements; so the first one that both hold stands among the first
+n - ceil(2t/(1+t) n) + 1 of the shorter and the first m - ceil(t m) + 1 of the longer. Records meet by these prefixes,
+whatever elements are in them; lengths, places in the prefix and a 256-bit parity sketch discard what cannot reach t,
+and the rest is verified exactly. No similar pair is lost.
+
+Elements held by many records make the comparisons grow with the square of the records that have nothing rarer in their
+prefix; they are made in blocks of at most BLOCK by BLOCK records, on vectors of sketches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,8 +24,10 @@ from pyspark.sql import functions as F
 from quillstream.operators.components import connected_components
 from quillstream.session import cut, small, written
 
-#: Similarity, least number of words, records that may share a rare element, and key elements that a record has at least.
-SIMILARITY, MIN_WORDS, RARE, KEYS = 0.7, 5, 64, 4
+#: Similarity, least number of words, and records that may share an element whose count is not told for the order.
+SIMILARITY, MIN_WORDS, RARE = 0.7, 5, 64
+#: Records of one side of a block of comparisons, rows looked at together, and pairs formed at once.
+BLOCK, ROWS, PAIRS = 30_000, 200_000, 1_000_000
 #: The list of common elements is sent to all workers: at most this many, 16 bytes each.
 MAX_COMMON = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -86,9 +87,16 @@ def segments(level: np.ndarray, t: float) -> np.ndarray:
     return 4 * (np.floor((1 - t) / (1 + t) * 2 * longest) // 2 + 1).astype(np.int64)
 
 
-def _signatures(common_ids: np.ndarray, common_counts: np.ndarray, t: float, keys: int):
+def prefixes(n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the prefixes of records of n elements: as the shorter and as the longer of a pair."""
+    return (n - np.ceil(2 * t / (1 + t) * n - 1e-9) + 1).astype(np.int64), (n - np.ceil(t * n - 1e-9) + 1).astype(np.int64)
+
+
+def _signatures(common: Callable[[], tuple[np.ndarray, np.ndarray]], t: float, block: int):
+    """Rows of the elements of each prefix: sig, role (1 shorter, 2 longer, 3 either), uid, n, left: elements from here on, sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts = common_ids(), common_counts()
+        ids, counts = common()
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 batch = whole.slice(at, 4000)
@@ -99,36 +107,99 @@ def _signatures(common_ids: np.ndarray, common_counts: np.ndarray, t: float, key
                 if len(ids):
                     where = np.minimum(np.searchsorted(ids, e.view(np.int64)), len(ids) - 1)
                     seen = np.where(ids[where] == e.view(np.int64), counts[where], 0)
-                rarity = np.lexsort((e, seen, row))
+                order = np.lexsort((e, seen, row))
                 nth = np.arange(len(e)) - offsets[row]
-                key = np.zeros(len(e), bool)
-                key[rarity] = (seen[rarity] == 0) | (nth < keys)
-                kr, ke, kept = row[key], e[key], (seen == 0)[key]
-                own = levels(sizes)
-                above = levels(np.floor(sizes / t + 1e-9)) > own  # may be similar to a record of the next level
-                for step in (0, 1):
-                    if step:
-                        up = above[kr]
-                        kr, ke, kept = kr[up], ke[up], kept[up]
-                    level = (own + step)[kr]
-                    segment = (_mix(ke ^ level.astype(np.uint64) * _GOLD) % segments(level, t).astype(np.uint64)).astype(np.int64) * 2 + kept  # rare elements keep to themselves
-                    order = np.lexsort((segment, kr))
-                    r, s, x = kr[order], segment[order], _mix(ke[order])
-                    if not len(r):
-                        continue
-                    first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (s[1:] != s[:-1]))))
-                    length = np.diff(np.concatenate((first, [len(r)])))
-                    total = np.add.reduceat(x, first)
-                    several = np.repeat(length > 1, length)
-                    less = (np.repeat(total, length) - x)[several]
-                    base = _mix((own + step).astype(np.uint64) * _GOLD)
-                    rows = np.concatenate((r[first], r[several]))
-                    sig = _mix(np.concatenate((total, less)) ^ base[rows] ^ np.concatenate((s[first], s[several])).astype(np.uint64))
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(sig), pa.array(np.full(len(rows), 1 - step, np.int8)), *(batch.column(c).take(take) for c in ("field", "id", "n", "s0", "s1", "s2", "s3"))],
-                        ["sig", "own", "field", "id", "n", "s0", "s1", "s2", "s3"],
-                    )
+                shorter, longer = prefixes(sizes, t)
+                first = nth < longer[row]
+                r, x, place = row[first], e[order][first], nth[first]
+                blocks = -(-seen[order][first] // block)
+                role = 2 + (place < shorter[r])
+                own = _mix(batch.column("uid").to_numpy(zero_copy_only=False).astype(np.uint64))[r]
+                # cell (i, j) compares block i of the shorter with block j of the longer
+                many = np.maximum(blocks, 1)
+                mine = (own % many.astype(np.uint64)).astype(np.int64)
+                copies = np.repeat(np.arange(len(r)), 2 * many - 1)
+                k = np.arange(len(copies)) - np.repeat(np.cumsum(2 * many - 1) - (2 * many - 1), 2 * many - 1)
+                g, m = many[copies], mine[copies]
+                other = (m + np.where(k < g, k, k - g + 1)) % g
+                cell = np.where(k < g, m * g + other, other * g + m)
+                kind = np.where(k == 0, role[copies], np.where(k < g, role[copies] & 1, 2))
+                used = kind > 0
+                copies, cell, kind = copies[used], cell[used], kind[used]
+                r, place = r[copies], place[copies]
+                sig = np.where(g[used] == 1, x[copies], _mix(x[copies] + cell.astype(np.uint64) * _GOLD))
+                take = pa.array(r)
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(sig), pa.array(kind.astype(np.int8)), batch.column("uid").take(take), pa.array(sizes[r].astype(np.int32)), pa.array((sizes[r] - place).astype(np.int32)), *(batch.column(c).take(take) for c in ("s0", "s1", "s2", "s3"))],
+                    ["sig", "role", "uid", "n", "left", "s0", "s1", "s2", "s3"],
+                )
+
+    return run
+
+
+def _compare(rows: list[np.ndarray], t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """uids of the pairs of equal sig that may reach t: shorter and longer."""
+    order = np.lexsort((rows[3], rows[0]))
+    sig, role, uid, n, left = (x[order] for x in rows[:5])
+    sketch = np.stack(rows[5:], axis=1)[order].view(np.uint64)
+    group = np.cumsum(np.concatenate(([0], sig[1:] != sig[:-1])))
+    wide = np.int64(n.max() + 2)
+    most, share = (1 - t) / (1 + t), t / (1 + t)
+    short, long = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    at = group[short] * wide + n[short]
+    reach = left / share - n + 1e-6  # the other has at most so many elements
+    low = np.searchsorted(at, group[long] * wide + np.ceil(t * n[long] - 1e-9).astype(np.int64))
+    high = np.searchsorted(at, group[long] * wide + np.minimum(n[long], np.floor(reach[long])).astype(np.int64), side="right")
+    width = np.maximum(high - low, 0)
+    ends = np.cumsum(width)
+    at = 0
+    while at < len(long):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        w = width[at:upto]
+        b = np.repeat(np.arange(at, upto), w)
+        a = short[low[b] + np.arange(len(b)) - np.repeat(np.cumsum(w) - w, w)]
+        b = long[b]
+        at = upto
+        kept = (reach[a] >= n[b]) & ((n[a] < n[b]) | (uid[a] < uid[b]))
+        a, b = a[kept], b[kept]
+        limit = most * (n[a] + n[b]) + 1e-9
+        apart = np.zeros(len(a), np.int64)
+        for c in range(4):
+            apart += np.bitwise_count(sketch[a, c] ^ sketch[b, c])
+            if c in (1, 3):
+                kept = apart <= limit
+                a, b, apart, limit = a[kept], b[kept], apart[kept], limit[kept]
+        if len(a):
+            yield uid[a], uid[b]
+
+
+def _meetings(t: float):
+    """Rows sorted by sig to distinct pairs of uids, a group at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count, goal = 0, ROWS
+
+        def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b in _compare(rows, t):
+                pairs = np.unique(np.stack((a, b), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["ua", "ub"])
+
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count < goal:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            sig = whole.column(0).to_numpy()
+            cut_at = int(np.searchsorted(sig, sig[-1]))
+            if cut_at:
+                yield from found([c.to_numpy() for c in whole.slice(0, cut_at).columns])
+            held = [whole.slice(cut_at)]
+            count = held[0].num_rows
+            goal = count + ROWS
+        if count:
+            yield from found([c.to_numpy() for c in pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns])
 
     return run
 
@@ -140,7 +211,7 @@ class NearDuplicates:
         self.members, self.links = members, links
 
 
-def near_duplicates(fields: dict[str, DataFrame], similarity: float = SIMILARITY, min_words: int = MIN_WORDS, rare: int = RARE, keys: int = KEYS) -> NearDuplicates:
+def near_duplicates(fields: dict[str, DataFrame], similarity: float = SIMILARITY, min_words: int = MIN_WORDS, rare: int = RARE, block: int = BLOCK) -> NearDuplicates:
     """Records of each field (a frame of id, text) whose word multisets are similar enough.
 
     Similarity is the number of words both have over that of the words of either, with repetition; words are maximal
@@ -174,22 +245,12 @@ def near_duplicates(fields: dict[str, DataFrame], similarity: float = SIMILARITY
     order = np.argsort(common.column(0).to_numpy())
     context = distinct.sparkSession.sparkContext
     told = context.broadcast((common.column(0).to_numpy()[order], common.column(1).to_numpy()[order]))
-    run = _signatures(lambda: told.value[0], lambda: told.value[1], similarity, keys)
-    signed = distinct.mapInArrow(run, "sig bigint, own tinyint, field string, id bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-
-    a, b = signed.alias("a"), signed.alias("b")
-    apart = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(1, 4)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
-    most = (1 - similarity) / (1 + similarity)
-    met = (
-        a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.field") == F.col("b.field")) & (F.col("a.id") < F.col("b.id")))
-        .where(
-            (F.col("a.own") + F.col("b.own") > 0)
-            & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9)
-            & (apart <= most * (F.col("a.n") + F.col("b.n")) + 1e-9)
-        )
-        .select(F.col("a.field").alias("field"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        .distinct()
-    )
+    schema = "sig bigint, role tinyint, uid bigint, n int, left int, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+    signed = distinct.mapInArrow(_signatures(lambda: told.value, similarity, block), schema)
+    met = signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_meetings(similarity), "ua bigint, ub bigint").distinct()
+    named = distinct.select("uid", "field", "id")
+    met = met.join(named.select(F.col("uid").alias("ua"), "field", F.col("id").alias("ia")), "ua").join(named.select(F.col("uid").alias("ub"), F.col("field").alias("fb"), F.col("id").alias("ib")), "ub")
+    met = met.where("field = fb").select("field", F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
     met = cut(met)
     wanted = small(met.select("field", F.col("a").alias("id")).union(met.select("field", F.col("b").alias("id"))).distinct(), MAX_COMMON)
     kept = distinct.select("field", "id", "n", "elements").join(wanted, ["field", "id"], "left_semi")

@@ -46,6 +46,21 @@ def test_pairs_equal_brute_force(spark):
     assert N.all_pairs(found).where("field = 'b'").count() == 0
 
 
+def test_variants_of_common_words_are_found_whole(spark):
+    """Shared words in more records than any count of rare ones, and words of their own beside them."""
+    rng = random.Random(7)
+    shared = [f"base{i}" for i in range(40)]
+    rows = [(i, " ".join(shared + [f"own{i}x{k}" for k in range(4)])) for i in range(100)]
+    rows += [(1000 + i, " ".join(rng.sample(shared, 20))) for i in range(100)]
+    rows += [(2000, " ".join(shared[:20])), (2001, " ".join(shared[:20] + [f"new{k}" for k in range(5)]))]
+    want = brute(rows)
+    assert len(want) >= 4951
+    df = spark.createDataFrame(rows, "id long, text string")
+    for block in (N.BLOCK, 30):
+        found = N.near_duplicates({"f": df}, block=block)
+        assert {(r.id_a, r.id_b) for r in N.all_pairs(found).collect()} == want
+
+
 def test_groups_follow_links_and_copies_are_one_class(spark):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [(1, base), (2, base), (3, base + " lambda"), (4, base + " lambda my ny"), (5, "nothing like the others at all here")]
