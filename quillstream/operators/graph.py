@@ -11,18 +11,22 @@ from quillstream.session import cut
 UNREACHED, MAX_NODES, MAX_DEPTH = 1_000_000, 10_000, 3
 
 
-def full_distances(nodes: DataFrame, roots: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def full_distances(nodes: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
     """node, d of every node: hops from the nearest root, UNREACHED if there is no way.
 
-    Each round joins only the last frontier; it ends when nothing new is reached.
+    Roots (node) start at 0, or at their own d where they have one. Each round joins only the last frontier; it ends
+    when nothing new is reached, however far that is.
     """
-    seen = cut(roots.select("node", F.lit(0).alias("d")).distinct())
-    frontier = seen
-    for depth in range(1, max_rounds + 1):
-        step = frontier.join(links, frontier.node == links.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("d", F.lit(depth))
-        frontier = cut(step)
-        if frontier.isEmpty():
-            break
+    start = cut(roots.select("node", F.col("d").cast("int").alias("d") if "d" in roots.columns else F.lit(0).alias("d")).groupBy("node").agg(F.min("d").alias("d")))
+    last = start.agg(F.max("d")).first()[0] or 0
+    seen = frontier = cut(start.where("d = 0"))
+    depth = 0
+    while depth < last or not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(links, frontier.node == links.src).select(F.col("dst").alias("node"))
+        if depth <= last:
+            step = step.union(start.where(F.col("d") == depth).select("node"))
+        frontier = cut(step.distinct().join(seen.select("node"), "node", "left_anti").withColumn("d", F.lit(depth)))
         seen = cut(seen.unionByName(frontier)) if depth % 5 == 0 else seen.unionByName(frontier)
     return nodes.select("node").join(seen, "node", "left").select("node", F.coalesce("d", F.lit(UNREACHED)).alias("d"))
 

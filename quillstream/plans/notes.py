@@ -133,10 +133,11 @@ def k_hits(spark, d):
 
 def _scored(spark, d):
     own = corpus(spark, d)
-    links = notes.edges(own)
+    links = cut(notes.edges(own))
     degrees = ranking.indegrees(links)
     most = degrees.agg(F.coalesce(F.max("indeg"), F.lit(0)).alias("most"))
-    dist = ranking.bounded_distances(ranking.seed_distances(own, links), links)
+    seeds = ranking.seed_distances(own, links).withColumnRenamed("note_id", "node")
+    dist = graph.full_distances(own.select(F.col("note_id").alias("node")), seeds, links).withColumnRenamed("node", "note_id")
     fit = packs.eligible(own).join(degrees, "note_id", "left").join(dist, "note_id", "left").join(F.broadcast(most), how="inner")  # one row
     structure = ranking.structural(F.coalesce("d", F.lit(graph.UNREACHED)), F.coalesce("indeg", F.lit(0)), F.col("most"))
     score = packs.pack_score(structure, F.col("updated"), F.get_json_object("frontmatter", "$.confidence"), F.size(F.coalesce("outlinks", F.array().cast("array<string>"))), REFERENCE)
