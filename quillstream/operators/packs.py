@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
+from quillstream.session import cut
 
 # Fixed values of the scoring contract.
 W_STRUCT, W_RECENCY, W_BUCKET, W_PROVENANCE = 0.35, 0.25, 0.20, 0.20
 HALF_LIFE_DAYS, SATURATION, SHARE_CAP, BUDGET, NEAR = 30.0, 5, 0.5, 2000, 0.6
 BUCKETS = {"high": 1.0, "medium": 0.7, "low": 0.5}
-#: Lines considered for one pack: the best ones, of which each costs at least a token.
+#: Lines folded at a time.
 MAX_LINES = 20_000
 
 
@@ -50,22 +51,35 @@ def capped_share(scored: DataFrame, harvested: str, share: float = SHARE_CAP) ->
     return scored.withColumn("__r", r).join(F.broadcast(totals), how="inner").where(~F.col(harvested) | (F.col("__r") > F.greatest(F.lit(0), 2 * F.col("__h") - F.col("__t")))).drop("__r", "__h", "__t")
 
 
-def fill_budget(scored: DataFrame, budget: int = BUDGET) -> DataFrame:
+def fill_budget(scored: DataFrame, budget: int = BUDGET, block: int = MAX_LINES) -> DataFrame:
     """The rows (score, path, tokens and others) that fit, best first, skipping what is too long and going on.
 
-    The fold is sequential, so it runs over the best rows only: once the cheapest row left cannot fit, no later one can,
-    and a pack of this budget cannot hold more than budget rows of a token each.
+    The fold is sequential, so it runs over a block of the best rows; the rows after it that are no longer than the room
+    left are the next, until none is. The first row of a block always fits, so there are at most budget blocks.
     """
-    best = scored.orderBy(F.desc("score"), "path").limit(MAX_LINES)
+    rows = cut(scored.where(F.col("tokens") <= budget))
     w = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "path", F.col("tokens").cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
 
-    def step(a: Column, x: Column) -> Column:
-        fits = a.used + x.n <= budget
-        return F.struct(F.when(fits, a.used + x.n).otherwise(a.used).alias("used"), F.when(fits, F.concat(a.kept, F.array(x.path))).otherwise(a.kept).alias("kept"))
-
-    chosen = best.agg(w.alias("rows")).select(F.posexplode(F.aggregate("rows", start, step, lambda a: a.kept)).alias("pos", "path"))
-    return best.join(F.broadcast(chosen), "path")
+    def fold(used: int) -> Column:
+        start = F.struct(F.lit(used).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
+
+        def step(a: Column, x: Column) -> Column:
+            fits = a.used + x.n <= budget
+            return F.struct(F.when(fits, a.used + x.n).otherwise(a.used).alias("used"), F.when(fits, F.concat(a.kept, F.array(x.path))).otherwise(a.kept).alias("kept"))
+
+        return F.aggregate("rows", start, step)
+
+    left, used, kept = rows, 0, []
+    while True:
+        best = left.orderBy(F.desc("score"), "path").limit(block)
+        done = best.agg(w.alias("rows")).select(F.size("rows").alias("n"), F.try_element_at("rows", F.lit(-1)).alias("last"), fold(used).alias("f")).first()
+        used, kept = done.f.used, kept + done.f.kept
+        if done.n < block:
+            break
+        after = (F.col("score") < -done.last.o) | ((F.col("score") == -done.last.o) & (F.col("path") > done.last.path))
+        left = rows.where(after & (F.col("tokens") <= budget - used))
+    chosen = rows.sparkSession.createDataFrame(list(enumerate(kept)), "pos int, path string")
+    return rows.join(F.broadcast(chosen), "path")
 
 
 def near_lines(candidates: DataFrame, pack_lines: DataFrame, similarity: float = NEAR) -> DataFrame:

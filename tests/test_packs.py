@@ -38,3 +38,10 @@ def test_pack_scores_use_distances_of_any_length(spark, data):
     score = packs.pack_score(structure, F.col("updated"), F.get_json_object("frontmatter", "$.confidence"), F.size(F.coalesce("outlinks", F.array().cast("array<string>"))), plans.REFERENCE)
     want = frame.join(own, "note_id").select("note_id", score.alias("score"))
     assert {r.note_id: r.score for r in plans.k_pack_scores(spark, data).collect()} == {r.note_id: r.score for r in want.collect()}
+
+
+def test_short_lines_behind_many_long_ones_fill_the_pack(spark):
+    rows = [("a", 0.9, 95)] + [(f"l{i:02}", 0.8, 20 + i) for i in range(10)] + [("y", 0.1, 3), ("z", 0.1, 3), ("zz", 0.05, 2)]
+    df = spark.createDataFrame(rows, "path string, score double, tokens long")
+    for block in (packs.MAX_LINES, 3, 1):
+        assert [r.path for r in packs.fill_budget(df, 100, block).orderBy("pos").collect()] == ["a", "y", "zz"]
