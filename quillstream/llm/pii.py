@@ -112,9 +112,9 @@ GATES = {
             " St", " Road", " Rd", " Ave", " Drive", " Lane", " Ln", " Court", " Ct", " Boulevard", " Blvd", " Way", " Place", " Square", " Terrace", " Close",
             "straße ", "strasse ", "str. ", "weg ", "gasse ", "llee ", "platz ", "ring ", "damm ", "ufer ", "straat ", "laan ", "plein ", "gracht ", "kade ", "dijk ", "singel ", "-Straße ", "-Platz ", "-Weg ", "-Ring ", "-Gasse ",
             "rue ", "avenue ", "boulevard ", "place ", "impasse ", "quai ", "chemin ", "allée ", "cours ", "route ", "passage ",
-            "C/ ", "Calle ", "Avda", "Plaza ", "Paseo ", "Camino ", "Ronda ", "Via ", "Viale ", "Piazza ", "Corso ", "Vicolo ", "Rua ", "Travessa ", "Praça ", "로", "길",
+            "C/ ", "Calle ", "Avenida ", "Avda", "Plaza ", "Paseo ", "Camino ", "Ronda ", "Via ", "Viale ", "Piazza ", "Corso ", "Vicolo ", "Rua ", "Travessa ", "Praça ", "로", "길",
         ),
-        r"\d[a-z]? (?:\p{Lu}[\p{L}'’-]+ ){1,3}(?:St|R|A|D|L|C|B|W|P|S|T)|[a-zß.] \d{1,4}|\d,? ?(?:bis|ter|quater|[a-d])?,? [a-zé]{3,9} |[가-힣] ?\d|, \d",
+        r"\d[a-z]? (?:\p{Lu}[\p{L}'’-]+ ){1,3}(?:St|R|A|D|L|C|B|W|P|S|T)|[\p{L}.'’-] \d{1,4}|\d,? ?(?:bis|ter|quater|[a-d])?,? [a-zé]{3,9} |[가-힣] ?\d|, \d",
     ),
     "name": ((), r"\p{Lu}[\p{L}\p{M}.'’-]* (?:[a-z]{2,3} )?\p{Lu}[\p{L}\p{M}.]|\p{Lu}\p{L}+, \p{Lu}\p{L}"),
 }

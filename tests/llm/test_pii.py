@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.llm import pii as P
 
@@ -76,3 +77,22 @@ def test_tables(spark, weights):
     assert masked[0] == "Write to [EMAIL], please." and masked[len(texts) - 3] is None and len(masked) == len(texts) + 1
     assert all(masked[i] == P.mask(t, P.find(t, given, weights)) for i, t in enumerate(texts) if t)
     assert P.found(df.limit(0), "id", "text", names).count() == 0 and P.masked(df.limit(0), "text", names).count() == 0
+
+
+ADDRESS_FORMS = [
+    *(f"12 {p}Mill{q} {t}" for p in ("", "North ", "Old ") for q in ("", " Hill", "-é") for t in "Street St Road Rd Avenue Ave Drive Lane Ln Court Ct Boulevard Blvd Way Place Square Terrace Close".split()),
+    *(f"{p}Linden{t} {n}" for p in ("", "Am ", "An der ") for t in "straße strasse str. weg gasse allee platz ring damm ufer -Allee -Straße -Platz -Weg -Ring -Gasse".split() for n in ("7", "12 b", "1234")),
+    *(f"{n} {t} {p}{q}" for n in ("7", "12 bis", "3b", "12,", "9 ter,") for t in "rue avenue boulevard place impasse quai chemin allée cours route passage".split() for p in ("", "de la ", "d’") for q in ("Paix", "Évian Été")),
+    *(f"{t} {p}{q}{c} 12" for t in "C/ Calle Avenida Avda Avda. Plaza Paseo Camino Ronda Via Viale Piazza Corso Vicolo Rua Travessa Praça".split() for p in ("", "de la ", "do ") for q in ("Sol", "Bogotá", "Inê", "Sol Ñu", "SOL", "Mar’", "Mar-") for c in ("", ",")),
+    *(f"Kerk{t} {n}" for t in "straat laan plein gracht kade dijk singel".split() for n in ("7", "7 a", "7-12")),
+    *(f"세종{t}{b}{n}" for t in ("대로", "로", "길") for b in ("", " ") for n in ("12", "12번길 3", "12-3")),
+]
+
+
+def test_every_address_pattern_passes_its_gate(spark):
+    texts = [f"{before}{form}{after}" for form in ADDRESS_FORMS for before in ("", "\n", "(", "\t", "x: ") for after in ("", ")", "\n", ", y")]
+    held = [t for t in texts if any(k == "address" for _, _, k, _ in P.candidates(t, frozenset(), ["address"]))]
+    assert {t for t in ("Avenida de la Sol, 12", "(Calle Bogotá 12", "\tRua Inê 12")} <= set(held) and len(held) > len(texts) // 2
+    bit = 1 << list(P.GATES).index("address")
+    df = spark.createDataFrame([(t,) for t in held], "text string")
+    assert [r.text for r in df.where(P._gated(F.col("text")).bitwiseAND(F.lit(bit)) == 0).collect()] == []
