@@ -42,9 +42,11 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_alike(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of excerpts and titles that look alike but differ in their characters."""
-    rows = [f.select("rec_id", "text") for f in confusables.text_fields(table(spark, d, "parsed_notes"), table(spark, d, "search_hits"))]
-    return confusables.alike_groups(rows[0].unionByName(rows[2]), "rec_id", "text")
+    """Groups of excerpts, titles and single body lines that look alike but differ in their characters."""
+    notes = table(spark, d, "parsed_notes")
+    rows = [f.select("rec_id", "text") for f in confusables.text_fields(notes, table(spark, d, "search_hits"))]
+    lines = notes.select(F.col("note_id").alias("rec_id"), F.explode("body_lines").alias("text"))
+    return confusables.alike_groups(rows[0].unionByName(rows[2]).unionByName(lines), "rec_id", "text")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

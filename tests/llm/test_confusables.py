@@ -43,3 +43,11 @@ def test_fields_count_a_record_once(spark):
     hits = spark.createDataFrame([(7, "e\u0301"), (8, None), (9, "")], "hit_id long, excerpt string")
     assert sorted(map(tuple, C.changed_fields(notes, hits).collect())) == [("body_lines", 1), ("excerpt", 7), ("title", 1)]
     assert C.unified_fields(notes, hits).where(F.col("field") == "title").count() == 3
+
+
+def test_alike_groups_hold_body_lines(spark, tmp_path):
+    from quillstream.llm.queries import p5_alike
+
+    spark.createDataFrame([(1, "one", ["first", "m\u0430nifest line"]), (2, "two", ["manifest line", ""]), (3, None, None)], "note_id long, title string, body_lines array<string>").write.parquet(f"{tmp_path}/parsed_notes.parquet")
+    spark.createDataFrame([(9, "else")], "hit_id long, excerpt string").write.parquet(f"{tmp_path}/search_hits.parquet")
+    assert [(r.skeleton, r.n, r.n_forms, r.first_id) for r in p5_alike(spark, str(tmp_path)).collect()] == [("manifest line", 2, 2, 1)]
