@@ -13,7 +13,7 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.session import settled
+from quillstream.session import cut, settled
 
 # Month names, and minutes east of UTC of the abbreviations that count.
 MONTHS = {
@@ -142,19 +142,21 @@ def estimate_zones(observed: DataFrame, machine: str, local_us: str, ingested_us
     return fit.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "wait")
 
 
-def normalise(df: DataFrame, text: str, machine: str, machines: DataFrame, estimate_from: str | None = None, zones: list[str] | None = None) -> DataFrame:
+def normalise(df: DataFrame, text: str, machine: str, machines: DataFrame, estimate_from: str | None = None, zones: list[str] | None = None, guesses: DataFrame | None = None) -> DataFrame:
     """df with utc_us and zone_source (epoch, offset, name, machine, estimated, or null when the text states no instant).
 
     machines: machine, zone. With estimate_from (a timestamp column with the time of ingestion) wall clocks of machines
-    without a zone are read under the zone estimated for them; otherwise they stay null. Columns utc_us and zone_source
+    without a zone are read under the zone estimated for them, or under that of guesses (machine, zone) if these are
+    given; otherwise they stay null. Columns utc_us and zone_source
     of df are replaced; a machine listed twice counts once.
     """
     known = machines.groupBy(F.col("machine").alias("__m")).agg(F.max("zone").alias("__zone"))
     parsed = parse_text(df.join(known, F.col(machine) == F.col("__m"), "left"), text, "__zone")
-    if estimate_from:
-        guess = estimate_zones(
-            parsed.where("__stated = 'wall'").select(F.col(machine).alias("m"), "__local_us", F.unix_micros(F.col(estimate_from)).alias("__ing")), "m", "__local_us", "__ing", zones or candidate_zones()
-        ).select(F.col("machine").alias("__g"), F.col("zone").alias("__guess"))
+    if estimate_from and guesses is None:
+        wall = parsed.where("__stated = 'wall'").select(F.col(machine).alias("m"), "__local_us", F.unix_micros(F.col(estimate_from)).alias("__ing"))
+        guesses = estimate_zones(wall, "m", "__local_us", "__ing", zones or candidate_zones())
+    if guesses is not None:
+        guess = guesses.select(F.col("machine").alias("__g"), F.col("zone").alias("__guess"))
         parsed = parsed.join(guess, F.col(machine) == F.col("__g"), "left")
         open_ = (F.col("__stated") == "wall") & F.col("__guess").isNotNull()
         parsed = parsed.withColumns(
@@ -187,3 +189,19 @@ def unusual_instants(turns: DataFrame, cursors: DataFrame, machines: DataFrame)
         own = df.select(F.col(key).alias("rec_id"), F.col(text).alias("text"), F.col("machine").alias("own_machine")).where(F.col("text").isNotNull() & ~F.col("text").rlike(PLAIN))
         parts.append(normalise(own, "text", "own_machine", machines).where("utc_us is not null").select(F.lit(tab).alias("tab"), "rec_id", "utc_us"))
     return parts[0].unionByName(parts[1]).distinct()
+
+
+def normalised_tables(turns: DataFrame, cursors: DataFrame, machines: DataFrame) -> DataFrame:
+    """tab, rec_id, utc_us, zone_source of every turn and cursor.
+
+    Zones are estimated from the turns, as cursors have no time of ingestion, and used for both; a cursor's wall clock
+    stays null where its machine has neither a zone nor an estimate.
+    """
+    known = machines.where("zone is not null").select(F.col("machine").alias("__k"))
+    wall = parse_text(turns.select("timestamp", "machine", "ingested_at"), "timestamp").where("__stated = 'wall'").join(known, F.col("machine") == F.col("__k"), "left_anti")
+    guesses = cut(estimate_zones(wall.withColumn("__ing", F.unix_micros("ingested_at")), "machine", "__local_us", "__ing", candidate_zones()).select("machine", "zone"))
+    parts = []
+    for tab, df, key, text in (("turns", turns, "turn_id", "timestamp"), ("harvest_cursors", cursors, "cursor_id", "last_scan")):
+        own = df.select(F.col(key).alias("rec_id"), F.col(text).alias("text"), F.col("machine").alias("own_machine"))
+        parts.append(normalise(own, "text", "own_machine", machines, guesses=guesses).select(F.lit(tab).alias("tab"), "rec_id", "utc_us", "zone_source"))
+    return parts[0].unionByName(parts[1]).distinct()

@@ -30,9 +30,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """Every turn's instant, wall clocks of machines without a zone read under the zone estimated for them."""
-    turns = table(spark, d, "turns").select("turn_id", "timestamp", "machine", "ingested_at")
-    return instants.normalise(turns, "timestamp", "machine", table(spark, d, "machines"), "ingested_at").select("turn_id", "utc_us", "zone_source").distinct()
+    """The instant of every turn and cursor, wall clocks of machines without a zone read under the zone estimated for them."""
+    return instants.normalised_tables(table(spark, d, "turns"), table(spark, d, "harvest_cursors"), table(spark, d, "machines"))
 
 
 def p2_zones(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ import zoneinfo
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.operators.instants import candidate_zones, estimate_zones, normalise, parse_text
+from quillstream.operators.instants import candidate_zones, estimate_zones, normalise, normalised_tables, parse_text
 
 
 def us(*a, tz="UTC"):
@@ -74,3 +74,19 @@ def test_held_out_zones_of_the_data(spark, data):
     assert wall
     right = sum(zoneinfo.ZoneInfo(r.zone).utcoffset(dt.datetime(2024, 2, 1)) == zoneinfo.ZoneInfo(known[r.machine]).utcoffset(dt.datetime(2024, 2, 1)) for r in wall)
     assert right >= 0.9 * len(wall)
+
+
+def test_cursors_are_read_under_the_zones_of_the_turns(spark, data):
+    from quillstream.plans.hygiene import p2_normalised
+
+    got = p2_normalised(spark, data)
+    cursors = spark.read.parquet(f"{data}/harvest_cursors.parquet")
+    assert got.where("tab = 'harvest_cursors'").select("rec_id").distinct().count() == cursors.select("cursor_id").distinct().count()
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    told = [start + dt.timedelta(hours=7 * i) for i in range(60)]
+    local = [t.astimezone(zoneinfo.ZoneInfo("Asia/Kathmandu")) for t in told]
+    turns = spark.createDataFrame([(i, x.strftime("%Y-%m-%d %H:%M:%S"), "m", t + dt.timedelta(seconds=40)) for i, (x, t) in enumerate(zip(local, told))], "turn_id long, timestamp string, machine string, ingested_at timestamp")
+    cursors = spark.createDataFrame([(1, "2024-01-05 12:00:00", "m"), (2, "2024-01-05 12:00:00", "other"), (3, "2024-01-05T12:00:00Z", "m"), (4, None, "m")], "cursor_id long, last_scan string, machine string")
+    machines = spark.createDataFrame([("m", None)], "machine string, zone string")
+    out = {r.rec_id: (r.utc_us, r.zone_source) for r in normalised_tables(turns, cursors, machines).where("tab = 'harvest_cursors'").collect()}
+    assert out == {1: (us(2024, 1, 5, 6, 15), "estimated"), 2: (None, None), 3: (us(2024, 1, 5, 12), "offset"), 4: (None, None)}
