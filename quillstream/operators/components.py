@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from quillstream.session import cut
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (its least node) of every node that has an edge; self-loops and null ends are left out.
 
-    Each round links every node to the least neighbour it knows of; the number of rounds is logarithmic in the longest
-    path. Rounds are cut by checkpoints, and no component is gathered anywhere: a star's rows are spread over its leaves.
+    Each round links every node to the least neighbour it knows of, until a round changes nothing; the number of rounds is
+    logarithmic in the longest path. Rounds are cut by checkpoints, and no component is gathered anywhere: the least
+    neighbours are combined before the shuffle, and a hub's rows in the join are split by adaptive execution.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     links = cut(links)
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of u goes to the least of u and its neighbours
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -63,7 +63,7 @@ def occurrences(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
 
     pairs = F.flatten(F.array(*map(marked, range(len(FIELDS)))))
     hits = tokens.select("note_id", *lengths, F.explode(pairs).alias("p")).select("note_id", F.col("p.token").alias("token"), F.col("p.f").alias("f"), *(f"len{i}" for i in range(len(FIELDS))))
-    kept = hits.join(small(wanted.select("token").distinct(), 200_000), "token", "left_semi")
+    kept = hits.join(small(wanted.select("token").distinct()), "token", "left_semi")
     return kept.groupBy("note_id", "token", *(f"len{i}" for i in range(len(FIELDS)))).agg(*(F.count_if(F.col("f") == i).alias(f"tf{i}") for i in range(len(FIELDS))))
 
 
@@ -75,14 +75,14 @@ def lexical(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     n = F.col("n")
     idf = F.greatest(F.lit(0.0), F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     idfs = df.join(F.broadcast(stats), how="inner").withColumn("idf", idf)  # one row of statistics
-    scored = hits.join(small(idfs, 200_000), "token")
+    scored = hits.join(small(idfs), "token")
     ftd = F.lit(0.0)
     for i, (_, weight, b) in enumerate(FIELDS):
         norm = F.when(F.col(f"avg{i}") == 0, 1.0).otherwise(1 - b + b * F.col(f"len{i}") / F.when(F.col(f"avg{i}") == 0, 1.0).otherwise(F.col(f"avg{i}")))
         ftd = ftd + F.lit(weight) * F.col(f"tf{i}") / norm
     scored = scored.withColumn("ftd", ftd).withColumn("part", F.col("idf") * F.col("ftd") * (K1 + 1) / (F.col("ftd") + K1))
     field = F.coalesce(*(F.when(F.col(f"tf{i}") > 0, i) for i in range(len(FIELDS))))
-    matched = scored.withColumn("field", field).join(small(wanted, 1_000_000), "token")
+    matched = scored.withColumn("field", field).join(small(wanted), "token")
     summed = matched.groupBy("qid", "note_id").agg(
         F.aggregate(F.array_sort(F.collect_list(F.struct("token", "part"))), F.lit(0.0), lambda a, x: a + x.part).alias("raw"),
         F.min(F.struct((-F.col("idf")).alias("i"), "field", "token")).alias("best"),
@@ -137,7 +137,7 @@ def rank(notes: DataFrame, questions: DataFrame, limit: int = MAX_HITS, floor: f
         .join(distances, "note_id", "left")
         .join(F.broadcast(most), how="inner")  # one row
         .join(theme, "note_id")
-        .join(small(asked, MAX_QUESTIONS), "qid")
+        .join(small(asked), "qid")
         .join(facts, "note_id")
         .withColumns({"indeg": F.coalesce("indeg", F.lit(0)), "d": F.coalesce("d", F.lit(MAX_HOPS + 1)), "linked": F.arrays_overlap("theme", "q")})
     )

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,9 +72,16 @@ def _forget(spark: SparkSession, at: str) -> None:
         shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """df, hinted for broadcast only when it has been counted to hold at most max_rows rows; beyond that a plain shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """df, hinted for broadcast only when its rows have been measured to take at most limit bytes; beyond that a plain shuffle join.
+
+    df is evaluated once more for that, so it should be cheap or cut. Strings and arrays count with the bytes they hold.
+    """
+    long = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    lists = [c for c, kind in df.dtypes if kind.startswith(("array", "map"))]
+    held = [F.octet_length(c) for c in long] + [F.octet_length(F.to_json(c)) for c in lists]
+    bytes_ = reduce(Column.__add__, [F.coalesce(h, F.lit(0)).cast("long") for h in held], F.lit(16 * len(df.columns)).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(bytes_)).first()[0] or 0) <= limit else df
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
