@@ -71,18 +71,65 @@ def test_groups_follow_links_and_copies_are_one_class(spark):
     assert N.groups(empty).count() == 0 and N.all_pairs(empty).count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(5, 400), st.data())
-def test_a_segment_differs_by_at_most_one(n, data):
-    """With as many segments as a level has, some segment of two similar records differs by at most one element."""
-    t = 0.7
-    h = int((1 - t) / (1 + t) * 2 * n)
-    rng = np.random.default_rng(data.draw(st.integers(0, 10**6)))
-    a = rng.integers(0, 2**62, n).astype(np.uint64)
+def random_words(rng, vocabulary, n):
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+def test_small_vocabularies_lose_no_pair(spark):
+    """Records of few different words, so that segments are shared by chance, beside planted pairs."""
+    rng = random.Random(11)
+    rows = []
+    for vocabulary in (12, 60, 300):
+        for _ in range(80):
+            base = random_words(rng, vocabulary, rng.randrange(5, 90))
+            copy = [w for w in base if rng.random() > 0.12] + random_words(rng, vocabulary, len(base) // 12)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for part in (N.PART, 3000):
+        found = N.near_duplicates({"f": df}, part=part)
+        assert {(r.id_a, r.id_b) for r in N.all_pairs(found).collect()} == brute(rows)
+
+
+def bag(rng, n, d):
+    a = rng.integers(0, 2**48, n).astype(np.uint64)
     b = a.copy()
-    b[: h // 2] = rng.integers(0, 2**62, h // 2).astype(np.uint64)
-    m = int(N.segments(N.levels(np.array([n])), t)[0])
-    cut = lambda x: (x % np.uint64(m)).astype(int)
-    gone, new = set(a.tolist()) - set(b.tolist()), set(b.tolist()) - set(a.tolist())
-    diff = Counter(cut(np.array(sorted(gone | new), np.uint64)).tolist()) if gone or new else Counter()
-    assert min(diff.get(k, 0) for k in range(m)) <= 1
+    b[rng.choice(n, d, replace=False)] = rng.integers(0, 2**48, d).astype(np.uint64)
+    return np.sort(a), np.sort(b)
+
+
+def signed(levels, e, level):
+    sig, _, role = N.signatures(e, np.zeros(len(e), int), np.zeros(1, np.uint64), level, int(levels.segments[level]))
+    return dict(zip(sig.tolist(), role.tolist()))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(5, 400), st.integers(0, 10**6))
+def test_two_records_that_differ_as_much_as_allowed_meet(n, seed):
+    levels = N.Levels(0.7, 5)
+    a, b = bag(np.random.default_rng(seed), n, int(0.3 / 1.7 * n))
+    level = int(levels.home(np.array([n]))[0])
+    one, two = signed(levels, a, level), signed(levels, b, level)
+    assert any(one[s] & two[s] == 0 for s in one.keys() & two.keys())
+
+
+def test_variants_alone_find_a_pair():
+    """Pairs that meet in no whole segment, only by one with an element taken out."""
+    levels, only = N.Levels(0.7, 5), 0
+    for seed in range(200):
+        a, b = bag(np.random.default_rng(seed), 60, 10)
+        level = int(levels.home(np.array([60]))[0])
+        one, two = signed(levels, a, level), signed(levels, b, level)
+        roles = [(one[s], two[s]) for s in one.keys() & two.keys() if one[s] & two[s] == 0]
+        assert roles
+        only += all(x or y for x, y in roles)
+    assert only > 0
+
+
+def test_sketches_never_differ_more_than_records():
+    rng = np.random.default_rng(3)
+    for n, d in ((20, 4), (200, 30), (2000, 400)):
+        a, b = bag(rng, n, d)
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        for words in (1, 4, 16):
+            x, y = (N.sketch(e, np.zeros(n, int), 1, words) for e in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= apart
