@@ -1,13 +1,15 @@
 """Visually identical text with different characters: one form, and the skeleton by which look-alikes are equal.
 
-The skeleton decomposes a text, replaces every character by the prototype of a look-alike table, and decomposes again;
-texts of equal skeleton look alike. The table holds the letters below; full-width, half-width and styled letters need no
-entries, as compatibility decomposition gives their prototypes.
-
-The one form (unify) keeps what is meant: accents and Hangul parts are joined to their letters, forms made for width or
-style become plain, other blanks become the plain space, invisible characters go, and a look-alike letter of another
-alphabet inside a Latin word becomes Latin. Emoji sequences, words of another script and signs such as ², ½, ™ stay.
-Texts are examined by one built-in pattern first; only those with a suspect character reach Python.
+The skeleton decomposes a text, replaces every character by its prototype in a look-alike table, and decomposes again;
+texts of equal skeleton look alike. The table is the letters below, what Unicode's character names tell (small capitals
+and script forms of Latin letters), and compatibility decomposition (full-width, half-width and styled forms).
+
+A text whose characters are their own prototypes, and which has no mark or part of a syllable written apart, is in its
+one form already. Only the others are candidates; for them the one form (unify) is made, which keeps what is meant:
+accents and Hangul parts are joined to their letters, forms made for width or style become plain, other blanks become
+the plain space, invisible characters go, and a look-alike letter of another alphabet inside a Latin word becomes Latin.
+Emoji sequences, words of another script and signs such as ², ½, ™ have prototypes but stay. Texts of ASCII alone never
+leave the JVM.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of Cyrillic, Greek and Armenian that look like the Latin letter beneath them.
-LOOKALIKE = "аеорсухіјѕһԁԛԝӏкАВЕЅІЈКМНОРСТУХԌԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινκραυօսոհ"
-LATIN     = "aeopcyxijshdqwlkABESIJKMHOPCTYXGQWABEZHIKMNOPTYXoivkpauounh"
+# Letters of Cyrillic, Greek and Armenian, of Cherokee and of Lisu, that look like the Latin letter beneath them.
+LOOKALIKE = "аеорсухіјѕһԁԛԝӏкАВЕЅІЈКМНОРСТУХԌԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινκραυօսոհьЬ" + "ᎪᏴᏟᎠᎬᏀᎻᎥᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᏃ" + "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ"
+LATIN     = "aeopcyxijshdqwlkABESIJKMHOPCTYXGQWABEZHIKMNOPTYXoivkpauounhbb" + "ABCDEGHiJKLMPRSTVWZ" + "ABCDEFGHIJKLMNOPRSTUVWXYZ"
 PROTOTYPES = dict(zip(LOOKALIKE, LATIN))
 # Characters of the Latin script and digits that share a prototype, for the skeleton alone.
 ALIKE = {"1": "l", "I": "l", "|": "l", "0": "O", "ı": "i", "ǀ": "l"}
@@ -36,21 +38,50 @@ JAMO = "ᄀ-ᇿꥠ-꥿ힰ-퟿"
 MARKS = "̀-ͯ"
 
 
-def _java(chars: str) -> str:
-    return "".join(c if c == "-" else rf"\x{{{ord(c):x}}}" for c in chars)
-
-
-#: A text without a match has its one form already.
-SUSPECT = "[" + _java(INVISIBLE + BLANKS + WIDE + STYLED + JAMO + MARKS + LOOKALIKE) + "]"
-
-_INVISIBLE = regex.compile(rf"(?<=\p{{ExtPict}}[️\U0001f3fb-\U0001f3ff]?)‍(?=\p{{ExtPict}})(*SKIP)(*FAIL)|(?<=[\p{{ExtPict}}0-9#*])️(*SKIP)(*FAIL)|[{INVISIBLE}\U000e0100-\U000e01ef]")
+_INVISIBLE = regex.compile(rf"(?<=\p{{ExtPict}}[️\U0001f3fb-\U0001f3ff]?)‍(?=\p{{ExtPict}})(*SKIP)(*FAIL)|(?<=[\p{{ExtPict}}0-9#*])️(*SKIP)(*FAIL)|[{INVISIBLE}\U000e0100-\U000e01ef]|(?<!\U0001f3f4[\U000e0020-\U000e007e]*)[\U000e0001\U000e0020-\U000e007f]")
 _BLANK = regex.compile(f"[{BLANKS}]")
 _FORM = regex.compile(f"[{WIDE}{STYLED}]+")
 _APART = regex.compile(f"[^{MARKS}][{MARKS}]+|[{JAMO}]+")
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _TO_LATIN = str.maketrans(PROTOTYPES)
-_TO_PROTOTYPE = str.maketrans(PROTOTYPES | ALIKE)
 _HAS_LATIN = regex.compile(r"\p{Latin}")
+_APART_ONE = regex.compile(f"[{MARKS}{JAMO}]")
+
+
+class _Table(dict):
+    """Code point to a string, found when first asked for; there are at most as many as Unicode has characters."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, point: int) -> str:
+        self[point] = out = self.find(chr(point))
+        return out
+
+
+def prototype(char: str) -> str:
+    """What stands for a character in a skeleton: of each part of its decomposition the look-alike table's entry."""
+    if _BLANK.fullmatch(char):
+        return " "
+    if _INVISIBLE.fullmatch(char):
+        return ""
+    out = []
+    for c in unicodedata.normalize("NFKD", char):
+        c = PROTOTYPES.get(c, c)
+        named = regex.fullmatch(r"LATIN (?:LETTER SMALL CAPITAL|SMALL LETTER (?:SCRIPT|DOTLESS)) ([A-Z])", unicodedata.name(c, ""))
+        c = named[1].lower() if named else c
+        out.append(ALIKE.get(c, c))
+    return unicodedata.normalize("NFKD", "".join(out))
+
+
+_PROTOTYPE = _Table(prototype)
+#: Whether a character tells that a text may have another form: its prototype is not its bare decomposition, or it stands apart.
+_SUSPECT = _Table(lambda c: _PROTOTYPE[ord(c)] != "".join(ALIKE.get(x, x) for x in unicodedata.normalize("NFD", c)) or _APART_ONE.fullmatch(c) is not None)
+
+
+def skeleton(text: str) -> str:
+    """Equal for texts that look alike: decompose, replace by prototypes, decompose again; blanks and case stay."""
+    return unicodedata.normalize("NFKD", text.translate(_PROTOTYPE))
 
 
 def unify(text: str) -> str:
@@ -61,15 +92,19 @@ def unify(text: str) -> str:
     return _LETTERS.sub(lambda m: m[0].translate(_TO_LATIN) if _HAS_LATIN.search(m[0]) else m[0], text)
 
 
-def skeleton(text: str) -> str:
-    """Equal for texts that look alike: decompose, replace by prototypes, decompose again; blanks and case stay."""
-    plain = unicodedata.normalize("NFKD", _BLANK.sub(" ", _INVISIBLE.sub("", text)))
-    return unicodedata.normalize("NFKD", plain.translate(_TO_PROTOTYPE))
+def one_form(text: str) -> str:
+    """unify, for the candidates that the skeleton's table finds; other texts are returned as they are."""
+    return unify(text) if any(_SUSPECT[ord(c)] for c in set(text)) else text
 
 
 @F.pandas_udf(T.StringType())
 def _unify(texts: pd.Series) -> pd.Series:
-    return texts.map(unify, na_action="ignore")
+    return texts.map(one_form, na_action="ignore")
+
+
+@F.pandas_udf(T.BooleanType())
+def _differs(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: one_form(t) != t, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
@@ -77,24 +112,29 @@ def _skeleton(texts: pd.Series) -> pd.Series:
     return texts.map(skeleton, na_action="ignore")
 
 
+def beyond_ascii(text: Column) -> Column:
+    """Whether a text has a character that is not ASCII; false for null."""
+    return F.coalesce(F.octet_length(text) > F.length(text), F.lit(False))
+
+
 def unified(df: DataFrame, text: str, out: str = "unified") -> DataFrame:
     """df with the one form of text in out (null for null).
 
-    Texts without a suspect character pass unchanged and never leave the JVM. Empty texts stay empty, repeated rows
-    each come out, a text of any length is taken whole; a column of df named like out is replaced.
+    ASCII texts pass unchanged and never leave the JVM. Empty texts stay empty, repeated rows each come out, a text of
+    any length is taken whole; a column of df named like out is replaced.
     """
-    suspect = F.coalesce(F.col(text).rlike(SUSPECT), F.lit(False))
-    return df.where(~suspect).withColumn(out, F.col(text)).unionByName(df.where(suspect).withColumn(out, _unify(text)))
+    other = beyond_ascii(F.col(text))
+    return df.where(~other).withColumn(out, F.col(text)).unionByName(df.where(other).withColumn(out, _unify(text)))
 
 
-def changed(df: DataFrame, text: str, out: str = "unified") -> DataFrame:
-    """The rows of df whose text has another form, with it in out; null texts have none."""
-    return df.where(F.col(text).rlike(SUSPECT)).withColumn(out, _unify(text)).where(F.col(out) != F.col(text))
+def changed(df: DataFrame, text: str) -> DataFrame:
+    """The rows of df whose text has another form; null texts have none."""
+    return df.where(beyond_ascii(F.col(text))).where(_differs(text))
 
 
 def skeletons(df: DataFrame, text: str, out: str = "skeleton") -> DataFrame:
-    """df with the skeleton of text in out. Texts of plain ASCII letters are done by built-in functions."""
-    ascii_ = F.coalesce(F.col(text).rlike(r"\A[\x00-\x7f]*\z"), F.lit(True))
+    """df with the skeleton of text in out. ASCII texts are done by built-in functions."""
+    ascii_ = ~beyond_ascii(F.col(text))
     simple = "".join(k for k in ALIKE if k.isascii())
     return (
         df.where(ascii_)

@@ -76,14 +76,15 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_masked, p5_found, p5_unified, p5_alike, p6_ids, p7_packed, p7_fill, p8_found, p8_languages)}
 
 
-def _class(chars: str) -> str:
-    return "".join(c if c == "-" else rf"\x{{{ord(c):x}}}" for c in chars)
-
-
-_ODD = "[" + _class(confusables.INVISIBLE + confusables.BLANKS + confusables.WIDE + confusables.STYLED + confusables.JAMO + confusables.MARKS) + "]"
-_LOOK = "[" + _class(confusables.LOOKALIKE) + "]"
+# Stated apart from the operator: invisible characters, blanks, full-width and styled forms, parts of syllables and accents; letters of other scripts.
+_ODD = (
+    r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{e0100}-\x{e01ef}"
+    r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{ff01}-\x{ffee}\x{2102}\x{210a}-\x{2113}\x{2115}\x{2119}-\x{211d}\x{2124}\x{2128}\x{212c}\x{212d}"
+    r"\x{212f}-\x{2131}\x{2133}\x{2134}\x{2145}-\x{2149}\x{1d400}-\x{1d7ff}\x{1100}-\x{11ff}\x{a960}-\x{a97f}\x{d7b0}-\x{d7ff}\x{300}-\x{36f}]"
+)
+_OTHER_SCRIPT = r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\p{Lisu}]"
 _PLAIN = r"regexp_replace(x, '[\x{2190}-\x{27bf}\x{1f000}-\x{1faff}]\x{fe0f}?(\x{200d}[\x{2190}-\x{27bf}\x{1f000}-\x{1faff}]\x{fe0f}?)*', '', 'g')"
-_CASE = rf"regexp_matches({_PLAIN}, '{_ODD}|\p{{Latin}}[\p{{L}}\p{{M}}]*{_LOOK}|{_LOOK}[\p{{L}}\p{{M}}]*\p{{Latin}}')"
+_CASE = rf"regexp_matches({_PLAIN}, '{_ODD}|\p{{Latin}}[\p{{L}}\p{{M}}]*{_OTHER_SCRIPT}|{_OTHER_SCRIPT}[\p{{L}}\p{{M}}]*\p{{Latin}}')"
 
 SQL: dict[str, str] = {
     "p3_found": r"""WITH t AS (SELECT DISTINCT 'body' AS field, note_id AS id, body AS text FROM note_files UNION SELECT DISTINCT 'title', note_id, title FROM parsed_notes UNION SELECT DISTINCT 'source_text', region_no, source_text FROM author_regions),

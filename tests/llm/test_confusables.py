@@ -6,8 +6,24 @@ from quillstream.llm import confusables as C
 CHANGED = {
     "Ｔｅｓｔ１２": "Test12", "cafe\u0301": "café", "\u1112\u1161\u11ab": "한", "zero\u200bwidth": "zerowidth", "soft\u00adhyphen": "softhyphen", "\ufeffx": "x", "a\u00a0b": "a b", "a\u3000b": "a b", "a\u202fb": "a b",
     "𝐞𝐯𝐞": "eve", "ℋ": "H", "m\u0430nifest": "manifest", "\u039doise": "Noise", "a\u200db": "ab", "ﾊﾟ": "パ", "\u200e": "",
+    "\u13aapple": "Apple", "\ua4f3ne": "One", "re\u044c": "reb", "a\U000e0100": "a", "x\U000e0041y": "xy",
 }
-SAME = ["", "plain", "журнал", "журнал index", "λόγος and more", "👩\u200d💻 ok", "❤\ufe0f", "x² ½ ™ … – “q”", "日本語メモ", "한국어", "Über façade", "Δ value", "naïve"]
+SAME = ["", "plain", "журнал", "журнал index", "λόγος and more", "👩\u200d💻 ok", "❤\ufe0f", "x² ½ ™ … – “q”", "日本語メモ", "한국어", "Über façade", "Δ value", "naïve", "\U0001f3f4\U000e0067\U000e0062\U000e007f flag"]
+
+
+@pytest.mark.parametrize("text", [*CHANGED, *SAME])
+def test_the_skeleton_is_that_of_the_one_form(text):
+    assert C.skeleton(text) == C.skeleton(C.unify(text))
+    assert C.one_form(text) == C.unify(text)
+
+
+def test_no_character_changes_without_being_suspect():
+    import sys
+
+    for point in range(128, sys.maxunicode + 1):
+        c = chr(point)
+        for text in ("" if 0xD800 <= point < 0xE000 else c, "" if 0xD800 <= point < 0xE000 else f"a{c}b"):
+            assert C.one_form(text) == C.unify(text), hex(point)
 
 
 @pytest.mark.parametrize("text,want", CHANGED.items())
