@@ -74,3 +74,19 @@ def test_mixture_keeps_a_weak_block_with_its_document():
     ll = np.array([[-100.0, -200.0], [-50.0, -140.0], [-30.0, -28.0], [-90.0, -40.0]])
     which, sure = L.infer(ll, np.array([0, 0, 0, 1]), 2)
     assert which.tolist() == [0, 0, 0, 1]
+
+
+def test_short_blocks_of_mixed_documents_have_a_language(spark, docs):
+    long = [(i, t, label) for i, t, label, _ in docs if i < 320]
+    rng = random.Random(5)
+    mixed = [(1000, sentence(rng, "en") + "\n\n" + sentence(rng, "de") + "\n\n- der fluss geht\n\n# Heading here\n\n- nobody knows", "en")]
+    plain = [(1001, sentence(rng, "en") + "\n\n- der fluss geht", "en")]
+    df = spark.createDataFrame(long + mixed + plain, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.seg): r.lang for r in L.languages(df).where("doc_id >= 1000").collect()}
+    assert got == {(1000, 0): got[(1000, 0)], (1000, 1): "en", (1000, 2): "de", (1000, 3): "de", (1000, 5): "en", (1001, 0): "en"}
+
+
+def test_the_sample_is_bounded(spark):
+    df = spark.range(5000).selectExpr("id as doc_id", "concat('some text ', id) as text", "'en' as lang")
+    texts, codes = L.sample(df, "doc_id", "text", "lang", most=200)
+    assert 130 < len(texts) == len(codes) < 280 and texts == L.sample(df.repartition(7), "doc_id", "text", "lang", most=200)[0]
