@@ -16,7 +16,10 @@ STOPWORDS = (
 )
 CJK = ((0x1100, 0x11FF), (0x3000, 0x303F), (0x3040, 0x309F), (0x30A0, 0x30FF), (0x3130, 0x318F), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFF00, 0xFFEF))
 CJK_CLASS = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in CJK)
+#: Characters that canonical composition may change: marks, parts of syllables, and letters that stand for another.
+UNCOMPOSED = r"[\p{M}\x{374}\x{37e}\x{387}\x{1100}-\x{11ff}\x{1f71}-\x{1ffd}\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}\x{f900}-\x{faff}\x{fb1d}-\x{fb4e}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}]"
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+# What is a fence, a heading and a link.
 FENCE = r"^[ \t]*(```+|~~~+)"
 HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$"
 WIKILINK = r"\[\[([^\]]+)\]\]"

@@ -154,7 +154,7 @@ def normalise(df: DataFrame, text: str, machine: str, machines: DataFrame, estim
     parsed = parse_text(df.join(known, F.col(machine) == F.col("__m"), "left"), text, "__zone")
     if estimate_from and guesses is None:
         wall = parsed.where("__stated = 'wall'").select(F.col(machine).alias("m"), "__local_us", F.unix_micros(F.col(estimate_from)).alias("__ing"))
-        guesses = estimate_zones(wall, "m", "__local_us", "__ing", zones or candidate_zones())
+        guesses = estimate_zones(wall, "m", "__local_us", "__ing", zones or zones_of(wall, "__local_us"))
     if guesses is not None:
         guess = guesses.select(F.col("machine").alias("__g"), F.col("zone").alias("__guess"))
         parsed = parsed.join(guess, F.col(machine) == F.col("__g"), "left")
@@ -169,11 +169,11 @@ def normalise(df: DataFrame, text: str, machine: str, machines: DataFrame, estim
     return parsed.withColumns({"utc_us": F.col("__utc_us"), "zone_source": source}).drop("__m", "__zone", "__local_us", "__utc_us", "__stated")
 
 
-def candidate_zones() -> list[str]:
-    """One zone for each offset history (first of each month and mid month, 2023 to 2026) among the named zones."""
+def candidate_zones(first_year: int = 2023, last_year: int = 2026) -> list[str]:
+    """One zone for each offset history over the years given (start, middle and end of each month) among the named zones."""
     import datetime as dt
 
-    days = [dt.datetime(y, m, d, 12, tzinfo=dt.timezone.utc) for y in range(2023, 2027) for m in range(1, 13) for d in (1, 15, 30) if (m, d) != (2, 30)]
+    days = [dt.datetime(y, m, d, 12, tzinfo=dt.timezone.utc) for y in range(first_year, last_year + 1) for m in range(1, 13) for d in (1, 15, 28)]
     first: dict[tuple, str] = {}
     for name in zone_names():
         if "/" in name and not name.startswith("Etc/"):
@@ -182,6 +182,13 @@ def candidate_zones() -> list[str]:
     return sorted(first.values())
 
 
+def zones_of(wall: DataFrame, local_us: str) -> list[str]:
+    """The candidate zones of wall-clock times: those that the years of the data tell apart (200 years at most)."""
+    year = F.year(F.timestamp_micros(local_us))
+    span = wall.agg(F.min(year).alias("a"), F.max(year).alias("b")).first()
+    return candidate_zones() if span.a is None else candidate_zones(max(1850, span.a), min(span.b, max(1850, span.a) + 200, 2100))
+
+
 def unusual_instants(turns: DataFrame, cursors: DataFrame, machines: DataFrame) -> DataFrame:
     """tab, rec_id, utc_us of every text that states an instant in another form than yyyy-MM-ddTHH:mm:ssZ."""
     parts = []
@@ -199,7 +206,7 @@ def normalised_tables(turns: DataFrame, cursors: DataFrame, machines: DataFrame)
     """
     known = machines.where("zone is not null").select(F.col("machine").alias("__k"))
     wall = parse_text(turns.select("timestamp", "machine", "ingested_at"), "timestamp").where("__stated = 'wall'").join(known, F.col("machine") == F.col("__k"), "left_anti")
-    guesses = cut(estimate_zones(wall.withColumn("__ing", F.unix_micros("ingested_at")), "machine", "__local_us", "__ing", candidate_zones()).select("machine", "zone"))
+    guesses = cut(estimate_zones(wall.withColumn("__ing", F.unix_micros("ingested_at")), "machine", "__local_us", "__ing", zones_of(wall, "__local_us")).select("machine", "zone"))
     parts = []
     for tab, df, key, text in (("turns", turns, "turn_id", "timestamp"), ("harvest_cursors", cursors, "cursor_id", "last_scan")):
         own = df.select(F.col(key).alias("rec_id"), F.col(text).alias("text"), F.col("machine").alias("own_machine"))

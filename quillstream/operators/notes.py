@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as X
 
 
+def composed(df: DataFrame, *columns: str) -> DataFrame:
+    """df with string columns in canonical composition; only rows that hold a character it may change leave the JVM."""
+    open_ = F.lit(False)
+    for c in columns:
+        open_ = open_ | F.coalesce(F.col(c).rlike(X.UNCOMPOSED), F.lit(False))
+    return df.where(~open_).unionByName(df.where(open_).withColumns({c: X.nfc(F.col(c)) for c in columns}))
+
+
 def corpus(note_files: DataFrame, parsed_notes: DataFrame) -> DataFrame:
     """One row per note: its parsed form with type, frontmatter fields and life span; repeated deliveries count once."""
     files = note_files.dropDuplicates(["note_id"]).select("note_id", "rel_path", "type", "frontmatter", "body", "first_seen", "removed_at")
@@ -55,20 +63,33 @@ def body_links(notes: DataFrame, key: str = "note_id", body: str = "body", strip
     return notes.select(key, F.explode(F.concat(wiki, md)).alias("target")).where("target <> ''")
 
 
-def edges(notes: DataFrame) -> DataFrame:
-    """src, dst: resolved links between notes by basename, each once, without links to itself.
+def links(notes: DataFrame, last: bool = True) -> DataFrame:
+    """src, dst: resolved links between notes by basename, each once, links to itself included (as the ranking counts them).
 
-    Of notes that share a basename the one with the last path answers.
+    Of notes that share a basename the one with the last path answers, or the first.
     """
-    links = notes.select(F.col("note_id").alias("src"), F.explode(F.array_distinct("outlinks")).alias("link")).select("src", X.wikilink_key(F.col("link")).alias("target"))
-    names = notes.groupBy("basename").agg(F.max(F.struct("path", "note_id")).alias("m")).select(F.col("basename").alias("target"), F.col("m.note_id").alias("dst"))
-    return links.join(names, "target").where("src <> dst").select("src", "dst").distinct()
+    found = notes.select(F.col("note_id").alias("src"), F.explode(F.array_distinct("outlinks")).alias("link")).select("src", X.wikilink_key(F.col("link")).alias("target"))
+    at = F.struct("path", "note_id")
+    names = notes.groupBy("basename").agg((F.max(at) if last else F.min(at)).alias("m")).select(F.col("basename").alias("target"), F.col("m.note_id").alias("dst"))
+    return found.join(names, "target").select("src", "dst").distinct()
+
+
+def edges(notes: DataFrame) -> DataFrame:
+    """src, dst of the graph that is shown: without links to itself; of notes that share a basename the first path answers."""
+    return links(notes, last=False).where("src <> dst")
+
+
+def link_labels(notes: DataFrame) -> DataFrame:
+    """src, target, words: tokens of what a link shows, after |, if it shows anything."""
+    shown = notes.select(F.col("note_id").alias("src"), F.explode("outlinks").alias("link")).where(F.col("link").contains("|"))
+    return shown.select("src", X.wikilink_key(F.col("link")).alias("target"), X.tokens(F.regexp_replace("link", r"(?s)^[^|]*\|", "")).alias("words"))
 
 
 def broken_links(notes: DataFrame) -> DataFrame:
-    """note_id, target of links whose key is no basename."""
-    links = notes.select("note_id", F.explode("outlinks").alias("link")).select("note_id", X.wikilink_key(F.col("link")).alias("target")).where("target <> ''").distinct()
-    return links.join(notes.select(F.col("basename").alias("target")).distinct(), "target", "left_anti").select("note_id", "target")
+    """note_id, target of links whose key is neither a basename nor an alias."""
+    found = notes.select("note_id", F.explode("outlinks").alias("link")).select("note_id", X.wikilink_key(F.col("link")).alias("target")).where("target <> ''").distinct()
+    aliases = notes.select(F.explode(F.from_json(F.get_json_object("frontmatter", "$.aliases"), "array<string>")))
+    return found.join(notes.select(F.col("basename").alias("target")).union(aliases).distinct(), "target", "left_anti").select("note_id", "target")
 
 
 def duplicate_basenames(notes: DataFrame) -> DataFrame:

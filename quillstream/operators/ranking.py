@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
-from quillstream.operators.notes import edges
+from quillstream.operators.notes import composed, link_labels, links
 from quillstream.session import cut, small, written
 
 # Fixed values of the scoring contract.
@@ -28,20 +28,20 @@ MAX_QUESTIONS = 10_000
 
 
 def field_tokens(notes: DataFrame) -> DataFrame:
-    """note_id and one array of tokens per field (f0 to f5, in the fields' order)."""
-    plain = lambda c: X.tokens(F.coalesce(c, F.lit("")))
+    """note_id and one array of tokens per field (f0 to f5, in the fields' order), of composed texts."""
     listed = lambda c: F.coalesce(X.tag_tokens(c), F.array().cast("array<string>"))
-    front = lambda k: F.from_json(F.get_json_object("frontmatter", f"$.{k}"), "array<string>")
-    head = F.array_join(F.transform("headings", lambda h: h.text), "\n")
-    return notes.select(
+    texts = notes.select(
         "note_id",
-        plain(F.coalesce(F.col("title"), F.replace("basename", F.lit("-"), F.lit(" ")))).alias("f0"),
-        listed(front("aliases")).alias("f1"),
-        listed(F.col("tags")).alias("f2"),
-        plain(head).alias("f3"),
-        plain(F.get_json_object("frontmatter", "$.summary")).alias("f4"),
-        plain(X.labels(F.array_join("body_lines", "\n"))).alias("f5"),
+        F.coalesce(F.col("title"), F.replace("basename", F.lit("-"), F.lit(" "))).alias("f0"),
+        F.get_json_object("frontmatter", "$.aliases").alias("f1"),
+        F.array_join("tags", "\n").alias("f2"),
+        F.array_join(F.transform("headings", lambda h: h.text), "\n").alias("f3"),
+        F.get_json_object("frontmatter", "$.summary").alias("f4"),
+        X.labels(F.array_join("body_lines", "\n")).alias("f5"),
     )
+    texts = composed(texts, *(f"f{i}" for i in range(len(FIELDS))))
+    as_tokens = {f"f{i}": X.tokens(F.coalesce(f"f{i}", F.lit(""))) for i in (0, 3, 4, 5)}
+    return texts.withColumns(as_tokens | {"f1": listed(F.from_json("f1", "array<string>")), "f2": listed(F.when(F.col("f2") != "", F.split("f2", "\n")))})
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -102,17 +102,41 @@ def seed_distances(notes: DataFrame, links: DataFrame) -> DataFrame:
     return roots.select(F.col("src").alias("note_id"), "d").union(reached).groupBy("note_id").agg(F.min("d").alias("d"))
 
 
-def bounded_distances(seeds: DataFrame, links: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
-    """note_id, d (at most hops) of what is reached from seeds along links."""
-    reached = seeds
+def focus(notes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """qid, scope of questions (qid, token) that name a domain: that of the first entry page, by path, all of whose domain's tokens are asked for."""
+    pages = notes.where("is_moc").select("path", X.path_domain(F.col("path")).alias("scope")).where("scope is not null")
+    parts = pages.select("path", "scope", F.array_distinct(X.tokens(F.col("scope"))).alias("t")).select("path", "scope", F.size("t").alias("n"), F.explode("t").alias("token"))
+    named = parts.join(wanted, "token").groupBy("qid", "path", "scope", "n").agg(F.count(F.lit(1)).alias("c")).where("c = n")
+    return named.groupBy("qid").agg(F.min(F.struct("path", "scope")).alias("m")).select("qid", "m.scope")
+
+
+def scoped_seeds(notes: DataFrame, links: DataFrame, scopes: DataFrame) -> DataFrame:
+    """scope, note_id, d, words: seeds of all entry pages (scope '') and of those of each domain asked for (scope); words: tokens that entry pages show for it."""
+    pages = notes.where("is_moc or is_index").select(F.col("note_id").alias("src"), F.when(F.col("is_moc"), 0).otherwise(1).alias("d"), X.path_domain(F.col("path")).alias("domain"))
+    inside = pages.where("d = 0").join(scopes, F.col("domain") == F.col("scope")).select("scope", "src", "d")
+    index = pages.where("d = 1").withColumn("one", F.lit(1)).join(scopes.withColumn("one", F.lit(1)), "one").select("scope", "src", "d")  # one page at most
+    roots = cut(pages.select(F.lit("").alias("scope"), "src", "d").unionByName(inside).unionByName(index))
+    none = F.array().cast("array<string>")
+    reached = roots.join(links, "src").select("scope", F.col("dst").alias("note_id"), "d")
+    ends = roots.select("scope", F.col("src").alias("note_id"), "d").unionByName(reached).groupBy("scope", "note_id").agg(F.min("d").alias("d"))
+    names = notes.groupBy("basename").agg(F.max(F.struct("path", "note_id")).alias("m")).select(F.col("basename").alias("target"), F.col("m.note_id").alias("note_id"))
+    shown = link_labels(notes.where("is_moc")).join(roots.where("d = 0"), "src").join(names, "target").select("scope", "note_id", F.explode("words").alias("w")).groupBy("scope", "note_id").agg(F.collect_set("w").alias("words"))
+    return ends.join(shown, ["scope", "note_id"], "left").select("scope", "note_id", "d", F.coalesce("words", none).alias("words"))
+
+
+def bounded_distances(seeds: DataFrame, links: DataFrame, hops: int = MAX_HOPS, by: tuple[str, ...] = ()) -> DataFrame:
+    """note_id, d (at most hops) of what is reached from seeds along links; of each group of seeds by itself, if by names columns."""
+    reached = seeds.select(*by, "note_id", "d")
     for _ in range(hops):
-        step = reached.where(F.col("d") < hops).join(links, F.col("note_id") == F.col("src")).select(F.col("dst").alias("note_id"), (F.col("d") + 1).alias("d"))
-        reached = reached.union(step).groupBy("note_id").agg(F.min("d").alias("d"))
+        step = reached.where(F.col("d") < hops).join(links, F.col("note_id") == F.col("src")).select(*by, F.col("dst").alias("note_id"), (F.col("d") + 1).alias("d"))
+        reached = reached.union(step).groupBy(*by, "note_id").agg(F.min("d").alias("d"))
     return reached.where(F.col("d") <= hops)
 
 
-def structural(d: Column, indeg: Column, most: Column) -> Column:
-    return F.bround(ALPHA / (1 + d) + BETA * indeg / F.greatest(F.lit(1), most), 6)
+def structural(d: Column, indeg: Column, most: Column, digits: int | None = 6) -> Column:
+    """Of distance and in-degree; rounded for questions, whole (digits None) for packs."""
+    score = ALPHA / (1 + d) + BETA * indeg / F.greatest(F.lit(1), most)
+    return score if digits is None else F.bround(score, digits)
 
 
 def rank(notes: DataFrame, questions: DataFrame, limit: int = MAX_HITS, floor: float = FLOOR) -> DataFrame:
@@ -124,22 +148,24 @@ def rank(notes: DataFrame, questions: DataFrame, limit: int = MAX_HITS, floor: f
     """
     wanted = cut(question_tokens(questions))
     tokens = written(field_tokens(notes))
-    links = cut(edges(notes))
+    found = cut(links(notes))
     lex = lexical(tokens, wanted)
-    degrees = indegrees(links)
-    distances = bounded_distances(seed_distances(notes, links), links)
+    degrees = indegrees(found)
+    scopes = cut(focus(notes, wanted))
+    seeds = cut(scoped_seeds(notes, found, scopes.select("scope").distinct()))
+    distances = bounded_distances(seeds, found, by=("scope",))
     most = degrees.agg(F.coalesce(F.max("indeg"), F.lit(0)).alias("most"))
     theme = tokens.select("note_id", F.array_distinct(F.concat("f0", "f1", "f2")).alias("theme"))
-    asked = wanted.groupBy("qid").agg(F.collect_set("token").alias("q"))
-    facts = notes.select("note_id", "path", "title", "title_line", "status", "headings", "body_lines")
+    asked = wanted.groupBy("qid").agg(F.collect_set("token").alias("q")).join(scopes, "qid", "left").withColumn("scope", F.coalesce("scope", F.lit("")))
     joined = (
         lex.join(degrees, "note_id", "left")
-        .join(distances, "note_id", "left")
         .join(F.broadcast(most), how="inner")  # one row
         .join(theme, "note_id")
-        .join(small(asked), "qid")
-        .join(facts, "note_id")
-        .withColumns({"indeg": F.coalesce("indeg", F.lit(0)), "d": F.coalesce("d", F.lit(MAX_HOPS + 1)), "linked": F.arrays_overlap("theme", "q")})
+        .join(small(cut(asked)), "qid")
+        .join(distances, ["scope", "note_id"], "left")
+        .join(seeds.where("d = 0").select("scope", "note_id", "words"), ["scope", "note_id"], "left")
+        .join(notes.select("note_id", "path", "status"), "note_id")
+        .withColumns({"indeg": F.coalesce("indeg", F.lit(0)), "d": F.coalesce("d", F.lit(MAX_HOPS + 1)), "linked": F.arrays_overlap("theme", "q") | F.coalesce(F.arrays_overlap("words", "q"), F.lit(False))})
     )
     boost = F.lit(0.0)
     for status, value in BOOST.items():
@@ -151,7 +177,9 @@ def rank(notes: DataFrame, questions: DataFrame, limit: int = MAX_HITS, floor: f
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "reason", F.desc("lex"), F.desc("indeg"), "path", "note_id")
     top = ranked.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
     best = F.max("score").over(Window.partitionBy("qid"))
-    kept = top.withColumn("best", best).where(F.col("best") >= floor)
+    # texts are joined to the hits that are left, MAX_HITS of each of MAX_QUESTIONS at most
+    hits = cut(top.withColumn("best", best).where(F.col("best") >= floor).select("qid", "pos", "note_id", "reason", "top_token", "score"))
+    kept = notes.select("note_id", "path", "title", "title_line", "headings", "body_lines").join(F.broadcast(hits), "note_id")
     token = F.col("top_token")
     head = F.get(F.filter("headings", lambda h: F.array_contains(X.tokens(h.text), token)), F.lit(0))
     place = F.array_position(F.transform("body_lines", lambda x: F.array_contains(X.tokens(X.labels(x)), token)), F.lit(True)).cast("int")

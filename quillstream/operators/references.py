@@ -2,7 +2,8 @@
 
 References are grouped by null mask (which key columns are null); each group is anti-joined to the parent keys on its
 non-null columns, under declared match semantics. Keys that do exist are then held against the parents' validity spans
-by a sweep over (key, hour), so that neither a hot key on either side nor a long history lands in one task.
+by a sweep over (key, hour), of one row per key and instant, so that neither a hot key on either side nor a long history
+lands in one task.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ def _dead_in_time(refs: DataFrame, spans: DataFrame, keys: list[str]) -> DataFra
         .agg(F.sum("e.d").alias("__d"), F.sum("e.s").alias("__s"))
         .withColumn("__b", F.floor(F.col("__at") / BUCKET_US))
     )
-    dated = refs.where("__at is not null").withColumn("__b", F.floor(F.col("__at") / BUCKET_US))
+    # however many references name one key at one instant, they are one row in the windows
+    dated = refs.where("__at is not null").select(*keys, "__at").distinct().withColumn("__b", F.floor(F.col("__at") / BUCKET_US))
     hours = (
         edges.select(*keys, "__b", "__d", "__s")
         .unionByName(dated.select(*keys, "__b").distinct().withColumns({"__d": F.lit(0).cast("long"), "__s": F.lit(0).cast("long")}))
@@ -63,14 +65,11 @@ def _dead_in_time(refs: DataFrame, spans: DataFrame, keys: list[str]) -> DataFra
         F.coalesce(F.sum("__d").over(before), F.lit(0)).alias("__d"),
         F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s"),
     )
-    rows = (
-        carried.unionByName(edges.withColumn("__kind", F.lit(1)))
-        .withColumn("__row", F.lit(None).cast(refs.schema["__row"].dataType))
-        .unionByName(dated.withColumns({"__kind": F.lit(2), "__d": F.lit(0).cast("long"), "__s": F.lit(0).cast("long")}))
-    )
+    rows = carried.unionByName(edges.withColumn("__kind", F.lit(1))).unionByName(dated.withColumns({"__kind": F.lit(2), "__d": F.lit(0).cast("long"), "__s": F.lit(0).cast("long")}))
     up_to = Window.partitionBy(*keys, "__b").orderBy(F.col("__at").asc_nulls_first(), "__kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.withColumns({"__alive": F.sum("__d").over(up_to), "__begun": F.sum("__s").over(up_to)})
-    dead = seen.where("__kind = 2 and __alive <= 0").select("__row", F.when(F.col("__begun") > 0, "deleted").otherwise("late").alias("__reason"))
+    dead_keys = seen.where("__kind = 2 and __alive <= 0").select(*keys, "__at", F.when(F.col("__begun") > 0, "deleted").otherwise("late").alias("__reason"))
+    dead = refs.where("__at is not null").join(dead_keys, [*keys, "__at"]).select("__row", "__reason")
     undated = refs.where("__at is null").select("__row", F.lit("late").alias("__reason"))
     return dead.unionByName(undated)
 

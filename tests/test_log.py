@@ -131,6 +131,9 @@ def test_snapshots(spark, tmp_path):
     first = store.publish(spark.range(3).toDF("id"), None)
     second = store.publish(spark.range(5).toDF("id"), first, "r1")
     assert store.read().count() == 5 and store.read(first).count() == 3 and store.publish(spark.range(9).toDF("id"), first, "r1") == second
+    third = store.publish(spark.range(2).toDF("id"), second, "r2", append=True)
+    assert store.read().count() == 7 and store.publish(spark.range(9).toDF("id"), third, "r1") == second and store.read().count() == 7
+    assert [r.run for r in store.published().orderBy("number").collect()] == [None, "r1", "r2"]
     with pytest.raises(snapshots.Conflict):
         store.publish(spark.range(1).toDF("id"), first)
     log = str(tmp_path / "log")
@@ -154,6 +157,43 @@ def test_curation_stream_is_idempotent(spark, tmp_path):
     assert sorted(r.basename for r in snapshots.Snapshots(spark, home + "/notes").read().collect()) == ["a", "b", "d"]
 
 
+def test_a_batch_replayed_after_any_step_publishes_once(spark, tmp_path, monkeypatch):
+    """Stop once after each step, then replay: every event is in one run, and every run is published once."""
+    plan = lambda claimed: claimed.select(F.col("content_sha256").alias("basename"), F.col("id").alias("source"))
+    steps = [(curate, "append_events"), (curate.Runs, "claim"), (curate.Runs, "finish"), (snapshots.Snapshots, "publish")]
+    for n, (owner, name) in enumerate(steps):
+        source, home = str(tmp_path / f"in{n}"), str(tmp_path / f"home{n}")
+        spark.createDataFrame([event(1, sha="a"), event(2, sha="b"), event(3, sha="c")], EVENT).coalesce(1).write.parquet(source)
+        real, calls = getattr(owner, name), []
+
+        def stops(*args, _real=real, _calls=calls, **kwargs):
+            out = _real(*args, **kwargs)
+            _calls.append(1)
+            if len(_calls) == 2 or (name == "append_events" and len(_calls) == 1):
+                raise RuntimeError("stopped")
+            return out
+
+        monkeypatch.setattr(owner, name, stops)
+        with pytest.raises(Exception, match="stopped"):
+            curate.curate(curate.event_stream(spark, source), home, plan, cap=1).awaitTermination()
+        monkeypatch.setattr(owner, name, real)
+        curate.curate(curate.event_stream(spark, source), home, plan, cap=1).awaitTermination()
+        runs = curate.Runs(spark, home)
+        assert sorted(r.basename for r in runs.notes.read().collect()) == ["a", "b", "c"], name
+        assert {r.status for r in runs.status().collect()} == {"processed"} and runs.notes.published().count() == 3
+        assert runs.recover(plan) == []
+
+
+def test_an_open_run_is_recovered(spark, tmp_path):
+    home = str(tmp_path / "home")
+    runs = curate.Runs(spark, home)
+    assert runs.pending().count() == 0 and runs.manifests() == []
+    snapshots.append_events(spark.createDataFrame([event(1, sha="a"), event(2, sha="b")], EVENT), home + "/log")
+    assert runs.claim("run-1", 1) and [r.status for r in runs.status().orderBy("id").collect()] == ["processing", "inbox"]
+    assert runs.recover(lambda e: e.select("id")) == ["run-1"] and runs.notes.read().count() == 1
+    assert [(r.pos, r.run) for r in runs.claimed("run-1").collect()] == [(0, "run-1")]
+
+
 def test_metrics_text(spark):
     rows = spark.createDataFrame([("m", 'a="1"', 2.0), ("m", "", 3.0)], "name string, labels string, value double")
     assert metrics.exposition(rows).first().text == '# TYPE m gauge\nm 3.0\nm{a="1"} 2.0'
