@@ -176,3 +176,94 @@ def path_domain(c: Column) -> Column:
 def safe_component(c: Column) -> Column:
     """Whether a name may be one part of a path."""
     return c.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z") & ~c.contains("..")
+
+
+# Files and folders that a run may write.
+ALLOWED_FILES, ALLOWED_FOLDERS = ("index.md", "log.md"), ("wiki/", "assets/")
+
+
+def may_write(path: Column) -> Column:
+    """Whether a run may add or change a path."""
+    inside = path.isin(*ALLOWED_FILES)
+    for folder in ALLOWED_FOLDERS:
+        inside = inside | path.startswith(folder)
+    return inside
+
+
+def heading_anchor(c: Column) -> Column:
+    """The slug of a heading's visible text: links as their labels, code and emphasis without their marks."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"), r"\[\[([^\]]*)\]\]", "$1")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"`([^`]*)`", "$1"), r"\[([^\]]*)\]\([^)]*\)", "$1")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\*\*([^*]+)\*\*|__([^_]+)__", "$1$2"), r"(?<![\w*])\*([^*\s][^*]*)\*(?![\w*])", "$1")
+    return F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def slug_or_hash(c: Column) -> Column:
+    """The slug of a text, or note- and eight digits of its hash when nothing of it is left."""
+    return F.when(slug(c) != "", slug(c)).otherwise(F.concat(F.lit("note-"), F.substring(F.sha2(c, 256), 1, 8)))
+
+
+def at_boundary(c: Column, limit: int = 200) -> Column:
+    """A text cut after its last whole sentence within limit, else its last whole word, else at limit; a cut keeps a quarter at least."""
+    clip, least = F.substring(c, 1, limit), max(1, limit // 4)
+    sentence = trim(F.regexp_extract(F.substring(c, 1, limit + 1), rf"(?s)\A(.{{0,{limit - 1}}}[.!?。！？…])(?=\s)", 1))
+    word = trim(F.regexp_extract(clip, r"(?s)\A(.+)\s\S*\z", 1))
+    return F.when(F.length(c) <= limit, c).when(F.length(sentence) >= least, sentence).when(F.length(word) >= least, word).otherwise(clip)
+
+
+def prose(c: Column) -> Column:
+    """Written text fit for a region: without fences and comments, wikilinks as their text, trimmed."""
+    plain = F.replace(F.regexp_replace(c, r"```[^\n]*\n?", ""), F.lit("```"), F.lit(""))
+    return trim(F.regexp_replace(F.regexp_replace(plain, r"(?s)<!--.*?-->", ""), r"\[\[([^\]]*)\]\]", "$1"))
+
+
+def without_stray_links(c: Column, allowed: Column, depth: int = 8) -> Column:
+    """A text whose wikilinks of keys that are not allowed (an array) are their text; nested ones up to depth, then all brackets go."""
+    out = c
+    for _ in range(depth):
+        parts = F.regexp_extract_all(out, F.lit(r"(?s)(?:(?!\[\[[^\[\]\r\n]*\]\]).)*(?:\[\[[^\[\]\r\n]*\]\]|\z)"), 0)
+        inner = lambda p: F.regexp_extract(p, r"\[\[([^\[\]\r\n]*)\]\]\z", 1)
+        key = lambda p: F.regexp_replace(F.regexp_replace(inner(p), r"\|.*$", ""), r"^[ \t\f\x0b]+|[ \t\f\x0b]+$", "")
+        out = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"\[\[[^\[\]\r\n]*\]\]\z") & ~F.array_contains(allowed, key(p)), F.regexp_replace(p, r"\[\[([^\[\]\r\n]*)\]\]\z", "$1")).otherwise(p)), "")
+    return out
+
+
+def harvest_origin(sources: Column, origin: Column) -> Column:
+    """The origin held, else the first source of a harvest."""
+    return F.coalesce(origin, F.get(F.filter(sources, lambda s: s.rlike(r"(?s)\Aharvest:.+")), F.lit(0)))
+
+
+def bounded_list(reasons: Column, most: int = 5, limit: int = 400) -> Column:
+    """shown (the first ones, each bounded) and total of a list of reasons."""
+    return F.struct(F.transform(F.slice(reasons, 1, most), lambda r: bounded(r, limit)).alias("shown"), F.size(reasons).alias("total"))
+
+
+def as_routes(c: Column, base: str = "/notes/") -> Column:
+    """Wikilinks as links to a route: [[key|shown]] and [[key#anchor]]."""
+    anchored = F.regexp_replace(c, r"(?<!!)\[\[([^\[\]|#\r\n]+)(#[^\[\]|\r\n]*)?\|([^\[\]\r\n]*)\]\]", f"[$3]({base}$1$2)")
+    return F.regexp_replace(anchored, r"(?<!!)\[\[([^\[\]|#\r\n]+)(#[^\[\]|\r\n]*)?\]\]", f"[$1]({base}$1$2)")
+
+
+def tag_list(c: Column) -> Column:
+    """Tags of a text separated by commas or blanks, each once; null if one is no kebab name."""
+    tags = F.array_distinct(F.filter(F.split(c, r"[,\s]+"), lambda t: t != ""))
+    return F.when(F.forall(tags, lambda t: t.rlike(r"\A[a-z0-9]+(-[a-z0-9]+)*\z")), tags)
+
+
+@F.pandas_udf(T.StringType())
+def first_object(texts: pd.Series) -> pd.Series:
+    """The first JSON object of a text, as it stands; null if there is none that parses."""
+    import json
+
+    decoder = json.JSONDecoder()
+
+    def find(text: str) -> str | None:
+        at = text.find("{")
+        while at >= 0:
+            try:
+                return text[at : decoder.raw_decode(text, at)[1]]
+            except ValueError:
+                at = text.find("{", at + 1)
+        return None
+
+    return texts.map(find, na_action="ignore")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KINDS = ("note", "candidate")
+KINDS = ("capture", "candidate")
+# Sources that need no name.
+SOURCES = ("claude-code", "codex", "qwen", "gemini", "opencode", "hermes", "manual")
 CONFIDENCE = ("low", "medium", "high")
 #: Distinct contents of a run, related notes of a candidate, attempts before an event has failed.
 CLAIM_CAP, RELATED, MAX_ATTEMPTS = 32, 8, 3
@@ -18,7 +20,8 @@ ID_PATTERN = r"\A\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}\.\d{3}Z--[0-9a-f]{6}\z"
 
 def valid_events(events: DataFrame) -> DataFrame:
     """Events with a well-formed id and source."""
-    return events.where(F.col("id").rlike(ID_PATTERN) & F.col("source").rlike(r"\A(manual|cli|mcp|web:[A-Za-z0-9._-]+|harvest:[A-Za-z0-9._-]+|team:[A-Za-z0-9._-]+)\z"))
+    named = F.col("source").rlike(r"\A(?:(?:web|harvest):.+|team:[A-Za-z0-9][A-Za-z0-9._-]*)\z")
+    return events.where(F.col("id").rlike(ID_PATTERN) & (F.col("source").isin(*SOURCES) | named))
 
 
 def first_deliveries(events: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def candidates(claimed: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.orderBy("first_id"))
     return grouped.select(
         F.concat(F.lit("c"), number.cast("string")).alias("candidate_id"), "content_sha256", "n_events", "first_id",
-        F.when(F.col("k") == 1, "candidate").otherwise("note").alias("kind"), F.get(F.array(*(F.lit(c) for c in CONFIDENCE)), F.col("c")).alias("confidence"), ((F.col("k") == 1) | (F.coalesce("c", F.lit(2)) == 0)).alias("is_gated"),
+        F.when(F.col("k") == 1, "candidate").otherwise("capture").alias("kind"), F.get(F.array(*(F.lit(c) for c in CONFIDENCE)), F.col("c")).alias("confidence"), ((F.col("k") == 1) | (F.coalesce("c", F.lit(2)) == 0)).alias("is_gated"),
     )
 
 

@@ -17,7 +17,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     e, docs = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), table(spark, d, "documents")
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     body = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_sha256"))
-    kind = F.when(F.col("event_type") == "error", "candidate").otherwise("note")
+    kind = F.when(F.col("event_type") == "error", "candidate").otherwise("capture")
     sure = F.when(F.col("event_type") == "error", "low").when(F.col("event_type") == "view", "medium").when(F.col("event_type") == "purchase", "high")
     return (
         e.join(F.broadcast(n), how="inner")
@@ -166,13 +166,13 @@ QUERIES = {k: f for k, f in dict(globals()).items() if k[:2] in ("i_", "l_", "h_
 
 _E = """
 e AS (SELECT v.event_id, strftime(v.ts, '%Y-%m-%dT%H-%M-%S.') || lpad((extract('millisecond' FROM v.ts) % 1000)::INT::VARCHAR, 3, '0') || 'Z--' || lpad(lower(to_hex(v.event_id)), 6, '0') AS id, 'u' || v.user_id AS writer,
-  CASE WHEN event_type = 'error' THEN 'harvest:bot' ELSE 'manual' END AS source, CASE WHEN event_type = 'error' THEN 'candidate' ELSE 'note' END AS kind, CASE event_type WHEN 'error' THEN 'low' WHEN 'view' THEN 'medium' WHEN 'purchase' THEN 'high' END AS confidence, v.ts,
+  CASE WHEN event_type = 'error' THEN 'harvest:bot' ELSE 'manual' END AS source, CASE WHEN event_type = 'error' THEN 'candidate' ELSE 'capture' END AS kind, CASE event_type WHEN 'error' THEN 'low' WHEN 'view' THEN 'medium' WHEN 'purchase' THEN 'high' END AS confidence, v.ts,
   CASE WHEN event_id % 5 <> 0 THEN event_type || coalesce('-' || json_extract_string(props, '$.k'), '') END AS event_key, sha256(coalesce(d.text, '')) AS content_sha256
   FROM (SELECT *, event_id % (SELECT count(*) FROM documents) AS doc FROM events) v JOIN documents d ON d.doc_id = v.doc),
 fd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY writer, event_key ORDER BY id) AS r FROM e) WHERE event_key IS NULL OR r = 1),
 fo AS (SELECT *, sum(first::INT) OVER (ORDER BY id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY content_sha256 ORDER BY id) = 1 AS first FROM fd)),
 cl AS (SELECT * FROM fo WHERE k <= 32),
-ca AS (SELECT 'c' || row_number() OVER (ORDER BY min(id)) AS candidate_id, content_sha256, count(*) AS n_events, min(id) AS first_id, CASE WHEN max((kind = 'candidate')::INT) = 1 THEN 'candidate' ELSE 'note' END AS kind,
+ca AS (SELECT 'c' || row_number() OVER (ORDER BY min(id)) AS candidate_id, content_sha256, count(*) AS n_events, min(id) AS first_id, CASE WHEN max((kind = 'candidate')::INT) = 1 THEN 'candidate' ELSE 'capture' END AS kind,
   ['low', 'medium', 'high'][min(CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END)] AS confidence, max((kind = 'candidate')::INT) = 1 OR coalesce(min(CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END), 3) = 1 AS is_gated FROM cl GROUP BY content_sha256),
 att AS (SELECT unnest([id, CASE WHEN event_id % 2 = 0 THEN id ELSE 'none' END]) AS event_id FROM e WHERE event_id % 7 = 0),
 ac AS (SELECT event_id, count(*) AS attempts FROM att GROUP BY 1)
