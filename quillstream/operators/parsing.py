@@ -56,7 +56,7 @@ def split_frontmatter(df: DataFrame, text: str = "text") -> DataFrame:
 def repaired(block: Column) -> Column:
     """A frontmatter block whose bare lists of wikilinks (key: [[a]], [[b]]) are lists of strings."""
     quoted = F.regexp_replace(block, INLINE_LINKS, "$1$2: [$3]")
-    return F.when(block.rlike(INLINE_LINKS), F.regexp_replace(quoted, r"(\[\[[^\]\n]*\]\])(?=[ \t]*(?:,|\]))", "'$1'")).otherwise(block)
+    return F.when(block.rlike(INLINE_LINKS), F.regexp_replace(quoted, r"(\[\[[^\[\]\n]*\]\])(?=[ \t]*(?:,|\]))", "'$1'")).otherwise(block)
 
 
 def split_foreign(df: DataFrame, text: str = "text") -> DataFrame:

@@ -68,7 +68,7 @@ def extracted(files: DataFrame, most: int = MAX_UNPACKED) -> DataFrame:
     rows = files.select("filename", r.alias("r"), "content").select("filename", "r.route", "r.conflict", "content")
     why = F.when(F.col("conflict"), "name and media type disagree").when(F.col("route").isNull(), "unknown kind").when(F.col("content").isNull(), "no content")
     rows = rows.withColumn("error", why)
-    text = rows.where("error is null and route in ('text', 'markup')").select("filename", "route", F.decode("content", F.lit("UTF-8")).alias("markdown"), "error")
+    text = rows.where("error is null and route in ('text', 'markup')").select("filename", "route", F.make_valid_utf8(F.col("content").cast("string")).alias("markdown"), "error")
 
     @F.pandas_udf("markdown string, error string")
     def read(routes: pd.Series, contents: pd.Series) -> pd.DataFrame:

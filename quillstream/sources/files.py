@@ -3,63 +3,34 @@
 from __future__ import annotations
 
 import glob
-import json
 import os
 from collections.abc import Iterator
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillstream.operators.parsing import _json
+
 FENCE = r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)"
 #: Bounds of the connectors: files, bytes of one, facts of a scan.
 MAX_FILES, MAX_BYTES, MAX_FACTS = 64, 1 << 20, 512
 EXEMPT = ("AGENTS.md", "SCHEMA.md", "README.md", "log.md")
 
 
-def parse_mapping(text: str) -> dict | None:
-    """A block of "key: value" lines with flat or indented lists; None when it is no mapping."""
-    out: dict = {}
-    key = None
-    for line in text.split("\n"):
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        item = regex.match(r"\s*-\s+(.*)$", line)
-        if item and key is not None:
-            if not isinstance(out[key], list):
-                out[key] = []
-            out[key].append(item[1].strip().strip("\"'"))
-            continue
-        pair = regex.match(r"([A-Za-z_][\w-]*):\s*(.*)$", line)
-        if not pair:
-            return None
-        key, value = pair[1], pair[2].strip()
-        if value.startswith("[") and value.endswith("]"):
-            out[key] = [v.strip().strip("\"'") for v in value[1:-1].split(",") if v.strip()]
-        else:
-            out[key] = value.strip("\"'")
-    return out
-
-
-@F.pandas_udf(T.StringType())
-def frontmatter_json(blocks: pd.Series) -> pd.Series:
-    """Frontmatter blocks as JSON; null for null and for what is no mapping."""
-    return blocks.map(lambda b: None if b is None or (m := parse_mapping(b)) is None else json.dumps(m, ensure_ascii=False, sort_keys=True))
-
-
 def read_notes(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
     """rel_path, basename, frontmatter (JSON), body, source_digest of every markdown file below root.
 
     A file without a readable fence has null frontmatter and its whole text as body; strict fails on it.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-    text = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("source_digest"))
+    text = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.sha2("content", 256).alias("source_digest"))
     rel = F.substring("path", F.lit(len(os.path.abspath(root)) + 2), F.length("path"))
     block = F.when(F.col("text").rlike(FENCE), F.regexp_extract("text", FENCE, 1))
-    rows = text.withColumn("frontmatter", frontmatter_json(block))
+    fenced = text.withColumn("__b", block)
+    rows = fenced.withColumn("frontmatter", _json("__b")).drop("__b")
     body = F.when(F.col("frontmatter").isNotNull(), F.regexp_replace(F.regexp_replace("text", FENCE, ""), r"\A\n+|\n+\z", "")).otherwise(F.col("text"))
     rows = rows.select(rel.alias("rel_path"), F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), r"\.md$", "").alias("basename"), "frontmatter", body.alias("body"), "source_digest")
     rows = rows.where(~F.regexp_extract("rel_path", "([^/]+)$", 1).isin(*EXEMPT))
@@ -77,38 +48,62 @@ def read_transcripts(spark: SparkSession, pattern: str) -> DataFrame:
     return raw.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "value")).where("value <> ''")
 
 
-def read_memory(spark: SparkSession, pattern: str) -> DataFrame:
-    """path, text, size of at most MAX_FILES files of at most MAX_BYTES, in order of path."""
-    paths = sorted(p for p in glob.glob(os.path.expanduser(pattern), recursive=True) if os.path.isfile(p) and os.path.getsize(p) <= MAX_BYTES)[:MAX_FILES]
+def memory_files(pattern: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> tuple[list[str], list[tuple[str, str]]]:
+    """Files that a scan reads, in order of path, and those that it leaves out, each with the reason: a scan is bounded, and says by what."""
+    found = sorted(p for p in glob.glob(os.path.expanduser(pattern), recursive=True) if os.path.isfile(p))
+    large = [(p, "larger than a file may be") for p in found if os.path.getsize(p) > max_bytes]
+    rest = [p for p in found if os.path.getsize(p) <= max_bytes]
+    return rest[:max_files], large + [(p, "past the number of files of a scan") for p in rest[max_files:]]
+
+
+def read_memory(spark: SparkSession, pattern: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """path, text, size of the files of a scan; and path, note of those left out."""
+    paths, out = memory_files(pattern, max_files, max_bytes)
+    notes = spark.createDataFrame(out, "path string, note string")
     if not paths:
-        return spark.createDataFrame([], "path string, text string, size bigint")
+        return spark.createDataFrame([], "path string, text string, size bigint"), notes
     raw = spark.read.format("binaryFile").load([*paths])
-    return raw.select("path", F.decode("content", "UTF-8").alias("text"), F.col("length").alias("size"))
+    return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("length").alias("size")), notes
 
 
 class MemoryFacts(DataSource):
-    """format("memory_facts").option("pattern", ...): paragraphs of memory files, one partition per file."""
+    """format("memory_facts").option("pattern", ...): paragraphs of memory files, one partition per file.
+
+    Options maxFiles, maxBytes and maxFacts bound a scan; what is past them comes as rows with a note and no block.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "memory_facts"
 
     def schema(self) -> str:
-        return "path string, block_no int, block string"
+        return "path string, block_no int, block string, note string"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _MemoryReader(self.options.get("pattern", ""))
+        return _MemoryReader(dict(self.options))
 
 
 class _MemoryReader(DataSourceReader):
-    def __init__(self, pattern: str):
-        self.pattern = pattern
+    def __init__(self, options: dict[str, str]):
+        said = {k.lower(): v for k, v in options.items()}
+        self.pattern = said.get("pattern", "")
+        self.files, self.bytes, self.facts = (int(said.get(k, v)) for k, v in (("maxfiles", MAX_FILES), ("maxbytes", MAX_BYTES), ("maxfacts", MAX_FACTS)))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in sorted(glob.glob(os.path.expanduser(self.pattern), recursive=True))[:MAX_FILES] if os.path.isfile(p) and os.path.getsize(p) <= MAX_BYTES]
+        paths, out = memory_files(self.pattern, self.files, self.bytes)
+        return [InputPartition((p, None)) for p in paths] + [InputPartition(x) for x in out] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8", errors="replace") as f:
+        if partition.value is None:
+            return
+        path, note = partition.value
+        if note:
+            yield path, None, None, note
+            return
+        with open(path, encoding="utf-8", errors="replace") as f:
             parts = [p.strip() for p in regex.split(r"\n\s*\n", f.read())]
-        for i, block in enumerate([p for p in parts if p and not p.startswith("#")][:MAX_FACTS]):
-            yield partition.value, i, block
+        kept = [p for p in parts if p and not p.startswith("#")]
+        for i, block in enumerate(kept[: self.facts]):
+            yield path, i, block, None
+        if len(kept) > self.facts:
+            yield path, None, None, f"{len(kept) - self.facts} facts past the number of a scan"

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -101,18 +102,27 @@ def test_packs(spark):
     assert [r.id for r in near.collect()] == [1]
 
 
+def front(**more):
+    """Frontmatter that breaks no rule of a theme."""
+    return json.dumps({"updated": "2024-05-01", "created": "2024-05-01", "summary": "s", "sources": ["raw/1"], **more})
+
+
 @pytest.mark.parametrize(
     "change,code",
-    [({"basename": "alpha"}, "L1-1"), ({"outlinks": ["nope"]}, "L1-2"), ({"title": " "}, "L1-4"), ({"status": None}, "L1-4"), ({"tags": ["odd"]}, "L1-5"), ({"status": "fresh"}, "L1-11"), ({"type": "page"}, "L1-11"), ({"frontmatter": '{"updated": "May"}'}, "L1-12"), ({"is_index": True}, "L1-13"), ({"type": "daily"}, "L1-14"), ({"body": "a\r\nb"}, "L1-16"), ({"body": "<!-- kb:body:start x -->"}, "L1-20")],
+    [
+        ({"basename": "alpha"}, "L1-1"), ({"outlinks": ["nope"]}, "L1-2"), ({"title": " "}, "L1-4"), ({"status": None}, "L1-4"), ({"frontmatter": front(related="x")}, "L1-4"), ({"frontmatter": front(confidence="sure")}, "L1-4"), ({"tags": ["odd"]}, "L1-5"),
+        ({"type": "moc", "frontmatter": front(children=["[[alpha]]"])}, "L1-6"), ({"frontmatter": front(sources=[])}, "L1-7"), ({"status": "contested"}, "L1-10"), ({"status": "draft"}, "L1-11"), ({"type": "page"}, "L1-11"), ({"frontmatter": front(updated="May")}, "L1-12"), ({"frontmatter": front(created="2025-01-01")}, "L1-12"),
+        ({"is_index": True}, "L1-13"), ({"type": "daily", "frontmatter": front(date="2024-05-01", run_id="2024-06-01T")}, "L1-14"), ({"body": "a\r\nb"}, "L1-16"), ({"frontmatter": front(origin="cli")}, "L1-19"), ({"body": "<!-- kb:body:start x -->"}, "L1-20"),
+    ],
 )
 def test_lint_one_fault_each(spark, change, code):
-    good = [note(1, "index", "Home", links=["alpha"], kind="index", index=True), note(3, "alpha", "Alpha", ["x"], ["ok"]), note(4, "zeta", "Zeta", ["<!-- kb:body:start x -->", "<!-- kb:body:end x -->"], ["ok"])]
+    good = [note(1, "index", "Home", links=["alpha", "other name"], kind="index", index=True), note(3, "alpha", "Alpha", ["x"], ["ok"]), note(4, "zeta", "Zeta", ["<!-- kb:body:start x -->", "<!-- kb:body:end x -->"], ["ok"], links=["alpha"])]
     names = [c.split()[0] for c in NOTE.split(", ")]
-    dated = [r[:-1] + (__import__("datetime").date(2024, 5, 1),) for r in good]
+    fronts = [front(children=[]), front(aliases=["other name"]), front()]
+    dated = [r[:-2] + (f, None) for r, f in zip(good, fronts)]
     tags = spark.createDataFrame([("ok",)], "tag string")
-    assert lint.lint(spark.createDataFrame(dated, NOTE), tags, "2024-06-01").count() == 0
+    if "title" in change:
+        assert lint.lint(spark.createDataFrame(dated, NOTE), tags, "2024-06-01").count() == 0
     bad = dict(zip(names, dated[2])) | change
-    if change.get("frontmatter"):
-        bad["updated"] = None
     found = lint.lint(spark.createDataFrame([*dated[:2], tuple(bad[n] for n in names)], NOTE), tags, "2024-06-01")
     assert {r.code for r in found.collect()} == {code}

@@ -12,7 +12,7 @@ from quillstream.streaming import curate
 EVENT = "id string, source string, writer string, event_key string, kind string, confidence string, content_sha256 string, body string"
 
 
-def event(n, writer="u", key=None, sha="s", kind="note", sure="high"):
+def event(n, writer="u", key=None, sha="s", kind="capture", sure="high"):
     return (f"2024-01-01T00-00-{n:02d}.000Z--{n:06x}", "manual", writer, key, kind, sure, sha, f"body {sha}")
 
 
@@ -28,7 +28,7 @@ def test_delivery_claim_and_candidates(spark):
     assert ids(inbox.undelivered(own, spark.createDataFrame([("u", "k")], "writer string, event_key string"))) == [3, 4, 5, 6, 7]
     assert ids(inbox.claim(first, 2)) == [1, 3, 4, 5] and ids(inbox.claim(first, 9)) == [1, 3, 4, 5, 6, 7] and inbox.claim(first.limit(0)).count() == 0
     found = {r.candidate_id: (r.content_sha256, r.n_events, r.kind, r.confidence, r.is_gated) for r in inbox.candidates(inbox.claim(first, 2)).collect()}
-    assert found == {"c1": ("a", 2, "note", "high", False), "c2": ("c", 2, "candidate", "low", True)}
+    assert found == {"c1": ("a", 2, "capture", "high", False), "c2": ("c", 2, "candidate", "low", True)}
     bad = spark.createDataFrame([event(1), ("x", *event(1)[1:]), (event(1)[0] + "\n", *event(1)[1:]), (event(2)[0], "odd!", *event(2)[2:])], EVENT)
     assert ids(inbox.valid_events(bad)) == [1]
 
@@ -122,7 +122,11 @@ def test_files(spark, tmp_path):
     assert files.parse_missing(parsed, parsed.where("basename = 'a'")).count() == 1
     spark.dataSource.register(files.MemoryFacts)
     assert [r.block for r in spark.read.format("memory_facts").option("pattern", str(tmp_path / "b.md")).load().collect()] == ["no fence"]
-    assert files.read_memory(spark, str(tmp_path / "*.none")).count() == 0 and files.read_memory(spark, str(tmp_path / "b.md")).first().text == "no fence"
+    assert files.read_memory(spark, str(tmp_path / "*.none"))[0].count() == 0 and files.read_memory(spark, str(tmp_path / "b.md"))[0].first().text == "no fence"
+    some, left_out = files.read_memory(spark, str(tmp_path / "*.md"), max_files=1)
+    assert some.count() == 1 and left_out.count() == 1 and files.read_memory(spark, str(tmp_path / "*.md"), max_bytes=1)[1].count() == 2
+    said = spark.read.format("memory_facts").option("pattern", str(tmp_path / "*.md")).option("maxFiles", "1").load()
+    assert said.where("note is not null").count() == 1
     assert [(r.pos, r.value) for r in files.read_transcripts(spark, str(tmp_path / "b.md")).collect()] == [(0, "no fence")]
 
 

@@ -35,13 +35,14 @@ def test_pages(spark):
 def test_more_rules(spark):
     rows = [
         ("a", "a", "theme", "active", '{"sources": [], "aliases": ["b", "z"]}', ""),
-        ("b", "b", "theme", "active", '{"sources": ["raw/1.md", "raw/9.md", "raw/1.meta.json"], "aliases": ["z"], "origin": "odd", "schema_version": "0"}', ""),
+        ("b", "b", "theme", "active", '{"sources": ["raw/1.md", "raw/9.md", "raw/1.meta.yaml"], "aliases": ["z"], "origin": "odd", "schema_version": "0"}', ""),
         ("c", "c", "theme", "contested", '{"sources": ["raw/1.md"], "body_status": "pending"}', marked(("r", "done"))),
     ]
     own = spark.createDataFrame(rows, "path string, basename string, type string, status string, frontmatter string, body string")
     found = lambda df: sorted((r.code, r.path, r.message) for r in df.collect())
-    raw = spark.createDataFrame([("raw/1.md",), ("raw/1.meta.json",)], "path string")
-    assert found(lint.sources(own, raw)) == [("L1-7", "a", "no sources"), ("L1-8", "b", "missing source raw/9.md"), ("L1-8b", "b", "sidecar raw/1.meta.json")]
+    raw = spark.createDataFrame([("raw/1.md",), ("raw/1.meta.yaml",)], "path string")
+    assert found(lint.bare_themes(own)) == [("L1-7", "a", "no sources")]
+    assert found(lint.sources(own, raw)) == [("L1-8", "b", "missing source raw/9.md"), ("L1-8b", "b", "sidecar raw/1.meta.yaml")]
     assert found(lint.contested_shape(own)) == [("L1-10", "c", "contested without its marks")]
     assert found(lint.alias_collisions(own)) == [("L1-15", "a", "alias b"), ("L1-15", "b", "alias z")]
     assert [f[0] for f in found(lint.schema_drift(own, "1"))] == ["L1-17"] and [f[1] for f in found(lint.origins(own))] == ["b"]
