@@ -26,6 +26,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept per worker, and the length in bytes up to which a word is kept.
 KEPT_WORDS, KEPT_BYTES = 200_000, 64
+#: Pairs of tokens whose rank a worker remembers.
+KEPT_PAIRS = 500_000
 
 
 class Encoder:
@@ -42,6 +44,8 @@ class Encoder:
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's token, or -1."""
         keys, back = np.unique(left << 20 | right, return_inverse=True)
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
         known, tokens, ranks = self.pairs, self.tokens, self.ranks
         out = np.empty(len(keys), np.int64)
         for i, k in enumerate(keys.tolist()):

@@ -25,15 +25,16 @@ LONG_CLASSES = 7
 SCHEMA = "container bigint, place int, item_id bigint, piece int, size int, start bigint"
 
 
-def pack_group(ids: np.ndarray, piece: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def pack_group(ids: np.ndarray, piece: np.ndarray, sizes: np.ndarray, capacity: int, top_up: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Container number and place of each item (1 <= size <= capacity)."""
+    long_classes = LONG_CLASSES if top_up else capacity
     n = len(sizes)
     bins, place = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     order = np.lexsort((piece, ids, -sizes))
     klass = capacity // sizes[order]
     made = 0
-    long = order[klass <= LONG_CLASSES]
-    for k in range(1, LONG_CLASSES + 1):
+    long = order[klass <= long_classes]
+    for k in np.unique(klass[klass <= long_classes]).tolist():
         own = order[klass == k]
         at = np.arange(len(own))
         bins[own], place[own] = made + at // k, at % k
@@ -48,7 +49,7 @@ def pack_group(ids: np.ndarray, piece: np.ndarray, sizes: np.ndarray, capacity:
             free[room].append(b)
             mask |= 1 << room
     rest = []
-    for i in order[klass > LONG_CLASSES].tolist():
+    for i in order[klass > long_classes].tolist():
         size = int(sizes[i])
         fits = mask >> size
         if not fits:
@@ -74,13 +75,14 @@ def pack_group(ids: np.ndarray, piece: np.ndarray, sizes: np.ndarray, capacity:
     return bins, place
 
 
-def pack(df: DataFrame, item_id: str, size: str, capacity: int = 2048, group_rows: int = GROUP) -> DataFrame:
+def pack(df: DataFrame, item_id: str, size: str, capacity: int = 2048, group_rows: int = GROUP, top_up: bool = True) -> DataFrame:
     """container, place, item_id, piece, size, start: where each item goes.
 
     An item larger than the capacity is cut into full pieces and a last one (piece 0, 1, ...; start is the piece's
     offset); any other is never split (piece 0, start 0). Items of null or no size need no container and are left out;
     repeated ids are items of their own; a null id is packed like any other. Containers are numbered by group, so the
-    result depends on the rows alone, not on how they are laid out. Sizes are found once and kept in the shared folder,
+    result depends on the rows alone, not on how they are laid out. top_up fills what the long classes leave with items of
+    the short ones, an extension of the method; without it every class takes its fixed count and nothing else. Sizes are found once and kept in the shared folder,
     16 bytes each. An empty table gives an empty result.
     """
     sized = cut(df.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(size).cast("bigint").alias("n")).where("n > 0"))
@@ -94,7 +96,7 @@ def pack(df: DataFrame, item_id: str, size: str, capacity: int = 2048, group_row
         ids = group.column("item_id").to_numpy(zero_copy_only=False)
         ids = np.where(np.isnan(ids), np.iinfo(np.int64).min, ids).astype(np.int64) if ids.dtype.kind == "f" else ids
         piece, sizes = group.column("piece").to_numpy().astype(np.int64), group.column("size").to_numpy().astype(np.int64)
-        bins, place = pack_group(ids, piece, sizes, capacity)
+        bins, place = pack_group(ids, piece, sizes, capacity, top_up)
         g = group.column("g")[0].as_py()
         return pa.table(
             [pa.array((g << 32) + bins), pa.array(place.astype(np.int32)), group.column("item_id"), pa.array(piece.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(piece * capacity)],

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,26 @@ def test_packing_of_nothing_and_of_repeats(spark):
     assert packing.pack(none, "id", "n").count() == 0
     twice = spark.createDataFrame([(1, 5), (1, 5), (None, 7)], "id long, n int")
     assert sorted(r["size"] for r in packing.pack(twice, "id", "n").collect()) == [5, 5, 7]
+
+
+def test_classes_by_count_alone():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 2049, 3000)
+    bins, place = packing.pack_group(np.arange(3000), np.zeros(3000, np.int64), sizes, 2048, top_up=False)
+    assert np.bincount(bins, sizes).max() <= 2048 and bins.min() == 0
+    for b in np.unique(bins):
+        own = bins == b
+        k = 2048 // sizes[own]
+        assert len(set(k.tolist())) == 1 and own.sum() <= k[0] and sorted(place[own]) == list(range(own.sum()))
+
+
+def test_remembered_pairs_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 3)
+    with open(bpe.VOCABULARY, "rb") as f:
+        data = f.read()
+    few, many = bpe.Encoder(data), bpe.Encoder(data)
+    texts = ["some words of a text", None, "", "other words, 12 of them"]
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 3)
+    got = list(few.batch(texts))
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 500_000)
+    assert got == list(many.batch(texts))
