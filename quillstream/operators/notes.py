@@ -9,11 +9,8 @@ from quillstream.functions import text as X
 
 
 def composed(df: DataFrame, *columns: str) -> DataFrame:
-    """df with string columns in canonical composition; only rows that hold a character it may change leave the JVM."""
-    open_ = F.lit(False)
-    for c in columns:
-        open_ = open_ | F.coalesce(F.col(c).rlike(X.UNCOMPOSED), F.lit(False))
-    return df.where(~open_).unionByName(df.where(open_).withColumns({c: X.nfc(F.col(c)) for c in columns}))
+    """df with string columns in canonical composition; only texts that hold a character it may change leave the JVM."""
+    return df.withColumns({c: F.coalesce(X.nfc(F.when(F.col(c).rlike(X.UNCOMPOSED), F.col(c))), F.col(c)) for c in columns})
 
 
 def corpus(note_files: DataFrame, parsed_notes: DataFrame) -> DataFrame:
