@@ -2,11 +2,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillstream.llm import neardup as N
+from quillstream.session import written
 
 
 def brute(rows, t=0.7, least=5):
@@ -133,3 +135,36 @@ def test_sketches_never_differ_more_than_records():
         for words in (1, 4, 16):
             x, y = (N.sketch(e, np.zeros(n, int), 1, words) for e in (a, b))
             assert np.bitwise_count(x ^ y).sum() <= apart
+
+
+def test_rounds_bound_the_bytes_sent_and_send_the_same():
+    """At hundreds of parts a level the records' headers outweigh their signatures; a round still sends about SENT bytes a word."""
+    rng, levels, n = np.random.default_rng(5), N.Levels(0.7, 5), 300
+    sizes = rng.integers(60, 200, n)
+    lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), rng.integers(-(2**62), 2**62, sizes.sum()))
+    records = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(sizes.astype(np.int32)), pa.array(np.zeros(n, np.int64)), lists], ["class", "n", "tag", "words"])
+    held = {level: (int((levels.home(sizes) == level).sum()), int(sizes[levels.home(sizes) == level].sum())) for level in set(levels.home(sizes).tolist())}
+    parts, rounds = N.plan(levels, held, 100, N.SENT)
+    count = sum(many for _, many in parts.values())
+    assert [a for a, _ in rounds] == [0, *(b for _, b in rounds[:-1])] and rounds[-1][1] == count
+    send = lambda a, b: [(p + a, d) for batch in N._sign(levels, parts, a, b)(iter([records])) for p, d in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist())]
+    by_round = [send(a, b) for a, b in rounds]
+    assert sorted(row for r in by_round for row in r) == sorted(send(0, count))
+    sent = [sum(len(d) for _, d in r) for r in by_round]
+    # the plan counts signatures as compressed
+    assert sum(sent) > 3 * N.SENT * sizes.sum() and max(sent) < 1.6 * N.SENT * sizes.sum()
+
+
+def test_many_rounds_lose_no_pair(spark):
+    rows = corpus(seed=9, n=60)
+    found = N.near_duplicates({"f": spark.createDataFrame(rows, "id long, text string")}, part=3000, sent=5)
+    assert {(r.id_a, r.id_b) for r in N.all_pairs(found).collect()} == brute(rows)
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark):
+    """The round's signatures are off the disk before the next one is signed."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    data = lambda: {x for x in (str(b) for b in blocks.getAllFiles().mkString("\n").split("\n")) if x.endswith(".data") and "shuffle_" in x}
+    before = data()
+    kept = written(spark.range(1000).repartition(3, "id"))
+    assert data() <= before and kept.count() == 1000
